@@ -28,6 +28,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once for a row however often body and its lambdas name it.
+
+    A column of an inner select may be inlined wherever it is named, inside lambdas too, and then be evaluated
+    for every element; a lambda's variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % n
