@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from factloom.llm import bpe, mixing, quality_rules, secrets, topk
-from factloom.llm.common import table
+from factloom.llm import bpe, language, mixing, quality_rules, secrets, topk, toxicity
+from factloom.llm.common import fold, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,20 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda: F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    model = language.learn(docs, ~held_out())
+    return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda: F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position", "source")
 
@@ -39,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_topk": op2_exact_topk,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language": op4_language,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
 }
