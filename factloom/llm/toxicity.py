@@ -2,8 +2,9 @@
 
 Features are the distinct hashed words of a text (letters and digits, A-Z as a-z). Of a bounded sample of labelled
 rows the words that go with the label more or less often than chance are kept. Training minimises log loss plus
-`penalty` times the squared change of score when the identity terms of a sentence are swapped for others of their
-group: a word that only says who is spoken of can't carry the score, which keeps neutral mentions low.
+`penalty` times the squared change of score when the identity terms of a sentence are swapped, for others of their
+group and for a neutral word of no weight (else both terms of a pair could rise together): a word that only says
+who is spoken of can't carry the score, which keeps neutral mentions low.
 
 Defined results: a null or empty text has no words and the score of the bias alone; without labelled rows every
 score is 0. Labels that contradict each other on an id count as toxic; null labels teach nothing.
@@ -99,7 +100,10 @@ def train(rows: list[tuple[np.ndarray, int]], *, swaps: dict[int, int] | None =
     kept[list(swaps)] = False  # what only says who is spoken of is no evidence by itself ...
     kept[[i for i in swaps if chi[i] >= chance]] = True  # ... unless labels say so, and the penalty then holds it down
     data = [at[kept[at]] for at, _ in rows]
-    flips = [(np.array([swaps.get(i, i) for i in at.tolist()], np.int64) if any(i in swaps for i in at.tolist()) else None) for at in data]
+    flips = []  # of each text with identity terms: the group's next terms, and the neutral word
+    for at in data:
+        named = np.array([i in swaps for i in at.tolist()], bool)
+        flips.append([np.array([swaps.get(i, i) for i in at.tolist()], np.int64), at[~named]] if named.any() else [])
     rng = np.random.default_rng(seed)
     seen = np.full(1 << BITS, 1e-8)
     seen_bias = 1.0
@@ -109,8 +113,7 @@ def train(rows: list[tuple[np.ndarray, int]], *, swaps: dict[int, int] | None =
             s = 1 / (1 + np.exp(-np.clip(bias + weights[at].sum(), -30, 30)))
             g = s - y[i]
             step = np.full(len(at), g) + shrink * weights[at]
-            if flips[i] is not None:
-                other = flips[i]
+            for other in flips[i]:
                 t = 1 / (1 + np.exp(-np.clip(bias + weights[other].sum(), -30, 30)))
                 step += 2 * penalty * (s - t) * s * (1 - s)
                 back = np.full(len(other), -2 * penalty * (s - t) * t * (1 - t))
