@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from factloom.llm import bpe, language, mixing, near_duplicates, quality_rules, secrets, topk, toxicity
+from factloom.llm import bpe, language, mixing, near_duplicates, pii, quality_rules, secrets, topk, toxicity
 from factloom.llm.common import fold, table
 
 
@@ -49,6 +49,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda i, kind: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{kind}")
+    base = pii.joined(F.col("base"))
+    return found.select("doc_id", *[count(i, k) for i, k in enumerate(pii.KINDS)], F.sha2(base, 256).alias("base_sha256"), pii.joined(F.concat("base", "more")).alias("spans"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_personal_data": op8_personal_data,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
