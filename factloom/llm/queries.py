@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from factloom.llm import bpe, language, mixing, near_duplicates, pii, quality_rules, secrets, topk, toxicity
+from factloom.llm import bpe, language, mixing, near_duplicates, passages, pii, quality_rules, secrets, topk, toxicity
 from factloom.llm.common import fold, table
 
 
@@ -60,6 +60,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_topk": op2_exact_topk,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_personal_data": op8_personal_data,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 _SHINGLED = """
