@@ -141,11 +141,11 @@ def _histograms(docs: DataFrame) -> DataFrame:
             at, n = [], []
             for text in batch.column(1).to_pylist():
                 buckets, count = np.unique(subwords([text or ""])[0], return_counts=True)
-                at.append(buckets.astype(np.int32))
-                n.append(count.astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["doc_id", "lang", "at", "n"])
+                at.append(buckets.astype(np.int32).tobytes())  # arrays would reach the driver as Python objects
+                n.append(count.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "lang", "at", "n"])
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, at array<int>, n array<float>")
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, at binary, n binary")
 
 
 def learn(docs: DataFrame, teaches: Column, *, per_language: int = 1000, max_languages: int = 1000, **options) -> Model:
@@ -162,8 +162,8 @@ def learn(docs: DataFrame, teaches: Column, *, per_language: int = 1000, max_lan
         return train([])
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
     picked = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    got = sorted(_histograms(picked).collect(), key=lambda r: (r["doc_id"], r["lang"], len(r["at"])))
-    return train([(np.array(r["at"], np.int64), np.array(r["n"]), r["lang"]) for r in got], **options)
+    got = sorted(_histograms(picked).collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["at"])))
+    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), r["lang"]) for r in got], **options)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
