@@ -130,13 +130,13 @@ def _features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column(1))
-            out: list[np.ndarray] = []
+            out: list[bytes] = []
             for a, b in row_blocks(offsets):
                 rows, at = buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                out += np.split(at.astype(np.int32), np.searchsorted(rows, np.arange(1, b - a)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "toxic", "at"])
+                out += [x.tobytes() for x in np.split(at.astype(np.int32), np.searchsorted(rows, np.arange(1, b - a)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "toxic", "at"])
 
-    return docs.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, at array<int>")
+    return docs.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, at binary")
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options) -> Model:
@@ -149,8 +149,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options
         .limit(sample)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # bounded by `sample`
-    got = sorted(_features(rows).limit(2 * sample).collect(), key=lambda r: (r["doc_id"], r["at"]))
-    return train([(np.array(r["at"], np.int64), r["toxic"]) for r in got], **options)
+    got = sorted(_features(rows).limit(2 * sample).collect(), key=lambda r: (r["doc_id"], bytes(r["at"])))
+    return train([(np.frombuffer(r["at"], np.int32).astype(np.int64), r["toxic"]) for r in got], **options)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
