@@ -1 +1 @@
-"""Placeholder, filled below."""
+"""Operators over facts: snapshots, diffs, traversal, impact, documentation, chunks, retrieval, activation."""

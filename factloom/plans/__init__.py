@@ -1 +1,70 @@
-"""Placeholder, filled below."""
+"""Plans that operators share: tables that cut lineage, top rows of a key, the driver tables as a fact graph."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written below spark.checkpoint.dir and read again: iterations restart from files, not from lineage."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="factloom-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/plans-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, parts: int = 32) -> DataFrame:
+    """The first k rows of each key. A hub's rows are cut to k in each of `parts` parts before they meet."""
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(parts))
+    first = df.withColumn("_part", part).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("_n") <= k)
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n", "_part")
+
+
+#: The driver tables as entities and relationships; the text runs on Spark and on DuckDB alike.
+ENTITIES = """
+    SELECT concat('module:', r_regionkey) AS stable_key, 'module' AS kind, r_name AS name, CAST(NULL AS STRING) AS attributes FROM region
+    UNION ALL SELECT concat('package:', n_nationkey), 'package', n_name, CAST(NULL AS STRING) FROM nation
+    UNION ALL SELECT concat('class:', s_suppkey), 'class', s_name, CAST(NULL AS STRING) FROM supplier
+    UNION ALL SELECT concat('interface:', c_custkey), 'interface', c_name, concat('segment=', c_mktsegment) FROM customer
+    UNION ALL SELECT concat('endpoint:', o_orderkey), 'endpoint', concat('/orders/', o_custkey, '/', o_orderkey), concat('status=', o_orderstatus, ' priority=', o_orderpriority) FROM orders
+    UNION ALL SELECT concat('dependency:', p_partkey), 'dependency', p_name, concat('brand=', p_brand) FROM part"""
+RELATIONSHIPS = """
+    SELECT concat('contains:', n_nationkey) AS id, 'CONTAINS' AS kind, concat('module:', n_regionkey) AS source_key, concat('package:', n_nationkey) AS target_key, CAST(NULL AS DOUBLE) AS confidence FROM nation
+    UNION ALL SELECT concat('contains:c', c_custkey), 'CONTAINS', concat('package:', c_nationkey), concat('interface:', c_custkey), CAST(NULL AS DOUBLE) FROM customer
+    UNION ALL SELECT concat('contains:s', s_suppkey), 'CONTAINS', concat('package:', s_nationkey), concat('class:', s_suppkey), CAST(NULL AS DOUBLE) FROM supplier
+    UNION ALL SELECT concat('handles:', o_orderkey), 'HANDLES', concat('interface:', o_custkey), concat('endpoint:', o_orderkey), CAST(NULL AS DOUBLE) FROM orders
+    UNION ALL SELECT concat('depends:', l_orderkey, ':', l_linenumber), 'DEPENDS_ON', concat('endpoint:', l_orderkey), concat('dependency:', l_partkey), round(1 - l_discount, 2) FROM lineitem
+    UNION ALL SELECT concat('tests:', l_suppkey, ':', l_partkey), 'TESTS', concat('class:', l_suppkey), concat('dependency:', l_partkey), CAST(NULL AS DOUBLE) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) d"""
+#: Two revisions: the base lacks every 97th order, the target every 89th; the target's every 83rd has another attribute.
+BASE_ENTITIES = "SELECT * FROM entities WHERE NOT (kind = 'endpoint' AND try_cast(substr(stable_key, 10) AS BIGINT) % 97 = 0)"
+TARGET_ENTITIES = """
+    SELECT stable_key, kind, name, CASE WHEN kind = 'endpoint' AND try_cast(substr(stable_key, 10) AS BIGINT) % 83 = 0 THEN concat(attributes, ' changed') ELSE attributes END AS attributes
+    FROM entities WHERE NOT (kind = 'endpoint' AND try_cast(substr(stable_key, 10) AS BIGINT) % 89 = 0)"""
+TABLES = ("region", "nation", "supplier", "customer", "orders", "part", "lineitem")
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, tables: Sequence[str] = TABLES) -> DataFrame:
+    """sql over the driver tables, as views of a session of its own."""
+    session = spark.newSession()
+    for t in tables:
+        session.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return session.sql(sql)
+
+
+def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of the driver tables."""
+    return run_sql(spark, sf_dir, ENTITIES), run_sql(spark, sf_dir, RELATIONSHIPS)
+
+
+def revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The entities of the base and of the target revision."""
+    return tuple(run_sql(spark, sf_dir, f"WITH entities AS ({ENTITIES}) {text}") for text in (BASE_ENTITIES, TARGET_ENTITIES))

@@ -1 +1 @@
-"""Placeholder, filled below."""
+"""Sources: file inventories, manifests and configuration as facts, framework routes and declarations as scans."""
