@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 SEPARATOR = "\x1f"
 
 
+#: A word boundary between ASCII word characters. Java's own \b also looks at other letters; patterns here don't.
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def ascii_words(pattern: str) -> str:
+    return pattern.replace(r"\b", BOUNDARY)
+
+
 def short_hash(*parts: Column, separator: str = SEPARATOR) -> Column:
     """The first 24 hex digits of sha256 over the parts."""
     return F.substring(F.sha2(F.concat_ws(separator, *parts), 256), 1, 24)
@@ -93,7 +101,7 @@ def redact_secrets(c: Column) -> Column:
             F.lit(0),
         )
 
-    return reduce(lambda acc, p: one(acc, *p), REDACTIONS, F.struct(F.coalesce(c, F.lit("")).alias("content"), F.lit(0).alias("count")))
+    return reduce(lambda acc, p: one(acc, ascii_words(p[0]), p[1]), REDACTIONS, F.struct(F.coalesce(c, F.lit("")).alias("content"), F.lit(0).alias("count")))
 
 
 #: Folders that hold generated files, and file names that decide a file's kind.
@@ -144,16 +152,17 @@ def question_intent(c: Column) -> Column:
     q = F.trim(c)
     out = F.when(q == "", F.lit(None).cast("string"))
     for intent, pattern in INTENTS:
-        out = out.when(q.rlike(pattern), intent)
+        out = out.when(q.rlike(ascii_words(pattern)), intent)
     return out.when(q.isNotNull(), "semantic_unknown")
 
 
 def search_term(c: Column) -> Column:
     """METHOD /path, else what is quoted, else the first capitalised symbol, else a keyword's object, else all of it."""
     q = F.trim(c)
-    some = lambda pattern, group: F.nullif(F.regexp_extract(q, pattern, group), F.lit(""))
+    some = lambda pattern, group: F.nullif(F.regexp_extract(q, ascii_words(pattern), group), F.lit(""))
+    endpoint = ascii_words(_ENDPOINT)
     return F.coalesce(
-        F.when(q.rlike(_ENDPOINT), F.concat_ws(" ", F.upper(F.regexp_extract(q, _ENDPOINT, 1)), F.regexp_extract(q, _ENDPOINT, 2))),
+        F.when(q.rlike(endpoint), F.concat_ws(" ", F.upper(F.regexp_extract(q, endpoint, 1)), F.regexp_extract(q, endpoint, 2))),
         some(r"""[`"']([^`"']{2,100})[`"']""", 1),
         some(r"\b([A-Z][A-Za-z0-9_$]*(?:\.[A-Za-z_$][\w$]*)?)\b", 1),
         some(r"(?i)\b(?:changing|configured|explain|uses?|calls?|for)\s+(?:the\s+)?([\w.$_/-]+)", 1),
