@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from factloom import functions as X
 from factloom import streaming
-from factloom.operators import chunks, diff, documentation, graph, impact, relational
+from factloom.operators import answers as answering
+from factloom.operators import chunks, diff, documentation, graph, impact, relational, summary
 from factloom.plans import BASE_ENTITIES, ENTITIES, RELATIONSHIPS, TARGET_ENTITIES, facts, revisions
-from factloom.sources import manifests, scanners
+from factloom.sources import manifests, project, scanners
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -443,3 +444,39 @@ def resolve_heritage(spark, sf_dir):
     artifacts = file("S", [F.lit("export class Own"), F.col("s_suppkey"), F.lit(" extends Base"), F.col("s_suppkey"), F.lit(" {}\n")]).union(file("B", [F.lit("export class Base"), F.col("s_suppkey"), F.lit(" {}\n")]))
     rows = scanners.lines(artifacts)
     return scanners.resolved(scanners.heritage(rows), scanners.declarations(rows)).select("path", "name", "target_path")
+
+
+@query(f"""{_affected_sql(4, 25, 0.2)}, named AS (SELECT DISTINCT CASE WHEN e.kind = 'endpoint' THEN 'apis' ELSE 'modules' END AS "group", e.name FROM best b JOIN entities e USING (stable_key) WHERE e.kind IN ('endpoint', 'module', 'package'))
+    SELECT "group", string_agg(name, '|' ORDER BY name) AS names FROM named GROUP BY "group\"""")
+def change_summary(spark, sf_dir):
+    affected, _ = _affected(spark, sf_dir, max_nodes=None)
+    return summary.change_summary(affected, facts(spark, sf_dir)[0]).select("group", F.array_join("names", "|").alias("names"))
+
+
+@query("SELECT source_key, concat('# ', min(h.name), chr(10), chr(10), string_agg(concat('- `', e.name, '`'), chr(10) ORDER BY e.name)) AS document FROM relationships r JOIN entities e ON r.target_key = e.stable_key JOIN entities h ON r.source_key = h.stable_key WHERE r.kind = 'HANDLES' GROUP BY source_key")
+def api_documents(spark, sf_dir):
+    return summary.api_document(*facts(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey AS question, concat('E', row_number() OVER (PARTITION BY o_orderkey ORDER BY turn, a, l)) AS evidence_id, kind, reference FROM (
+    SELECT l_orderkey AS o_orderkey, 0 AS turn, concat('p', l_partkey) AS a, l_linenumber AS l, 'structural' AS kind, concat('p', l_partkey, ':', l_linenumber) AS reference FROM lineitem
+    UNION ALL SELECT o_orderkey, 1, concat('c', o_custkey), 0, 'semantic', concat('c', o_custkey) FROM orders) t""", False)
+def evidence_pack(spark, sf_dir):
+    structural = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question"), F.concat(F.lit("p"), "l_partkey").alias("path"), F.col("l_linenumber").alias("start_line"))
+    semantic = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question"), F.concat(F.lit("c"), "o_custkey").alias("id"), F.lit(0.5).alias("similarity"))
+    return answering.evidence_pack(structural, semantic).select("question", "evidence_id", "kind", "reference")
+
+
+@query("SELECT o_orderkey AS question, CASE WHEN o_orderkey % 2 = 0 THEN 'See [E1]' ELSE concat('- c', o_custkey, ' [E1]') END AS answer, 'E1' AS citations, 'medium' AS confidence FROM orders", False)
+def grounded_answers(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question"), F.concat(F.lit("c"), "o_custkey").alias("id"), F.lit(0.5).alias("similarity"))
+    none = spark.createDataFrame([], "question long, path string, start_line int")
+    said = orders.select("question", F.when(F.col("question") % 2 == 0, "See [E1][E7]").otherwise("Nothing cited [E7]").alias("answer"))
+    return answering.answers(answering.evidence_pack(none, orders), said).withColumn("citations", F.array_join("citations", ","))
+
+
+@query("SELECT o_orderkey AS reference, concat('c', c_custkey) AS target, CAST(0.8 AS DOUBLE) AS confidence FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 2 = 0", False)
+def cross_language_links(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"), F.col("o_custkey").alias("name"), F.when(F.col("o_orderkey") % 2 == 0, "java").otherwise("kotlin").alias("language"))
+    symbols = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("stable_key"), F.col("c_custkey").alias("name"), F.lit("kotlin").alias("language"))
+    return project.link_across(orders, symbols)

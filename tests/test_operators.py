@@ -187,3 +187,22 @@ def test_stream_converges_to_the_fold(spark, tmp_path):
     q.awaitTermination()
     got = {tuple(r) for r in spark.table("folded").select("key", "state", "attempts").collect()}
     assert got == {tuple(r) for r in streaming.fold(events).select("key", "state", "attempts").collect()} == {("k1", "published", 2), ("k2", "claimed", 1)}
+
+
+def test_revisions_are_published_once(spark, tmp_path):
+    from factloom.operators import snapshots
+
+    root = str(tmp_path / "facts")
+    for revision, n in (("r1", 3), ("r2", 5)):
+        snapshots.write_revision(spark.range(n), root, "shop", revision)
+        assert snapshots.publish(spark, root, "shop", revision) and not snapshots.publish(spark, root, "shop", revision)
+        assert snapshots.read_revision(spark, root, "shop", snapshots.active_revision(spark, root, "shop")).count() == n
+    assert snapshots.active_revision(spark, root, "other") is None
+
+
+def test_project(spark):
+    from factloom.sources import project
+
+    files = [("package.json", '{"dependencies": {"express": "1"}}'), ("src/main/java/A.java", "x"), ("src/a.ts", None)]
+    r = project.detect_project(spark.createDataFrame(files, "path string, content string")).first()
+    assert (r["languages"], r["frameworks"], r["source_roots"]) == (["java", "typescript"], ["express"], ["src", "src/main/java"])
