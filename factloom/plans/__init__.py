@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+@cache
+def _own_folder() -> str:
+    """Where the cluster names no shared folder (one machine, tests)."""
+    return f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, written below spark.checkpoint.dir and read again: iterations restart from files, not from lineage."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     path = f"{shared.rstrip('/')}/plans-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
