@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,15 @@ def fold(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
 
+@cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+
+
 class Scratch:
     """Tables written below spark.checkpoint.dir, the folder that all executors share.
 
@@ -51,11 +61,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            shared = tempfile.mkdtemp(prefix="factloom-")
-            spark.conf.set("spark.checkpoint.dir", shared)
-        self.root = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
