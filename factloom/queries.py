@@ -15,7 +15,7 @@ from factloom import functions as X
 from factloom import streaming
 from factloom.operators import answers as answering
 from factloom.operators import chunks, diff, documentation, graph, impact, relational, summary
-from factloom.plans import BASE_ENTITIES, ENTITIES, RELATIONSHIPS, TARGET_ENTITIES, facts, revisions
+from factloom.plans import BASE_ENTITIES, ENTITIES, RELATIONSHIPS, TARGET_ENTITIES, facts, kept, revisions
 from factloom.sources import manifests, project, scanners
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The facts as tables: a traversal's filters then reach the scans."""
+    return tuple(kept(df) for df in facts(spark, sf_dir))
+
+
 @query("SELECT kind, count(*) AS n FROM entities GROUP BY kind")
 def entity_counts(spark, sf_dir):
     return relational.entity_counts(facts(spark, sf_dir)[0])
@@ -143,12 +148,12 @@ _NEIGHBOURS = """steps AS (SELECT source_key AS a, target_key AS b FROM relation
 
 @query(f", {_NEIGHBOURS} SELECT e.stable_key, e.kind, e.name, CAST(v.depth AS INTEGER) AS depth FROM visited v JOIN entities e USING (stable_key)")
 def traverse_nodes(spark, sf_dir):
-    return graph.traverse(*facts(spark, sf_dir), ["module:1", "missing"], max_depth=2, max_nodes=1000).nodes.select("stable_key", "kind", "name", "depth")
+    return graph.traverse(*_stored(spark, sf_dir), ["module:1", "missing"], max_depth=2, max_nodes=1000).nodes.select("stable_key", "kind", "name", "depth")
 
 
 @query(f", {_NEIGHBOURS} SELECT r.id, r.kind, r.source_key, r.target_key FROM relationships r JOIN visited s ON r.source_key = s.stable_key JOIN visited t ON r.target_key = t.stable_key WHERE least(s.depth, t.depth) < 2")
 def traverse_edges(spark, sf_dir):
-    return graph.traverse(*facts(spark, sf_dir), ["module:1"], max_depth=2, max_nodes=1000).edges.select("id", "kind", "source_key", "target_key")
+    return graph.traverse(*_stored(spark, sf_dir), ["module:1"], max_depth=2, max_nodes=1000).edges.select("id", "kind", "source_key", "target_key")
 
 
 @query(""", found AS (SELECT stable_key, 0 AS depth FROM entities WHERE kind = 'module' UNION SELECT r.target_key, found.depth + 1 FROM found JOIN relationships r ON found.stable_key = r.source_key WHERE found.depth < 32)
