@@ -17,10 +17,11 @@ Defined results: null and empty texts have no spans. Offsets are code points, th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,8 +101,7 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
         return []
     covered = sorted((s, e) for _, s, e in spans)
     out = [(s, e, True) for s, e in sorted(set(covered))]
-    ends = np.array([e for _, e in covered] or [0])
-    starts = np.array([s for s, _ in covered] or [0])
+    starts, ends = [s for s, _ in covered], list(accumulate((e for _, e in covered), max))
     for m in _WORD.finditer(text):
         word = m[0]
         if len(word) < 6 or not _DIGITS.search(word) and "@" not in word:
@@ -111,7 +111,8 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
             if len(token) >= 6 and ("@" in token or len(_DIGITS.findall(token)) >= 4):
                 s = m.start() + t.start()
                 e = s + len(token)
-                if not ((starts < e) & (ends > s)).any():
+                before = bisect_left(starts, e)
+                if not before or ends[before - 1] <= s:
                     out.append((s, e, False))
     rows = []
     for s, e, seed in out:
