@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import cosine, redact_secrets, short_hash, usable_vector
+from factloom.functions import redact_secrets, short_hash, usable_vector
 
+#: Vectors in a block of queries, and of those searched; queries that are scored at a time.
+QUERIES = 4096
+VECTORS = 32768
+STRIP = 64
 #: Folders and files that never become chunks, and what makes code explanatory.
 EXCLUDED = r"(^|/)(\.git|\.next|build|coverage|dist|node_modules|target)(/|\z)"
 SECRET_FILE = r"(^|/)(\.env|id_rsa|id_ed25519)(\.|\z)"
@@ -56,17 +65,64 @@ def project(existing: DataFrame, chunks: DataFrame, model: str) -> DataFrame:
     return both.select("id", F.when(F.col("checksum").isNull(), "stale").when(F.coalesce(same, F.lit(False)), "retain").otherwise("embed").alias("action"))
 
 
-def semantic_search(queries: DataFrame, vectors: DataFrame, k: int = 8, max_queries: int = 1000) -> DataFrame:
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """x in ten-thousandths, half up as Spark rounds doubles: by their shortest decimal form."""
+    size = np.abs(x) * 1e4
+    out = np.copysign(np.floor(size + 0.5), x)
+    for at in zip(*np.nonzero(np.abs(size % 1 - 0.5) < 1e-6), strict=True):
+        out[at] = float(Decimal(repr(float(x[at]))).scaleb(4).quantize(Decimal(1), ROUND_HALF_UP))
+    return out
+
+
+def search_block(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vector (places) and similarity (NaN where a norm is 0) of the k best vectors of each query, the first
+    of equal ones."""
+    n = len(vectors)
+    norms, out = np.sqrt((vectors * vectors).sum(axis=1)), []
+    for first in range(0, len(queries), STRIP):
+        q = queries[first : first + STRIP]
+        norm = np.sqrt((q * q).sum(axis=1))[:, None] * norms
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x = np.where(norm == 0, np.nan, (q @ vectors.T) / norm)
+        known = np.isfinite(x)
+        score = np.where(known, _rounded(np.where(known, x, 0)), -(1 << 20)).astype(np.int64)
+        order = score * n - np.arange(n)
+        top = np.argpartition(-order, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), (len(q), n))
+        best = np.take_along_axis(score, top, axis=1).ravel()
+        out.append((np.repeat(np.arange(first, first + len(q)), top.shape[1]), top.ravel(), np.where(best == -(1 << 20), np.nan, best / 1e4)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def semantic_search(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
     """query_id, rank, id, similarity: the k rows of vectors(id, embedding) most like each of queries(query_id, query).
 
-    A search has few queries: their number is checked before they are sent to every task. Each part of the vectors
-    keeps k a query before parts meet, so what is shuffled doesn't grow with the vectors.
+    Queries and vectors of one length lie in blocks of bounded size; a task has one block of each and keeps k a
+    query, and a window merges the blocks, so neither side is broadcast or limited.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries in one search")
-    pairs = vectors.where(usable_vector(F.col("embedding"))).join(F.broadcast(queries), F.size("embedding") == F.size("query"))
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("query"), F.col("embedding")), 4).alias("similarity"))
-    order = [F.desc("similarity"), F.col("id")]
-    part = scored.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
-    few = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("rank") <= k)
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+    asking = queries.select("query_id", F.col("query").cast("array<double>").alias("v"))
+    usable = vectors.where(usable_vector(F.col("embedding"))).select("id", F.col("embedding").cast("array<double>").alias("v"))
+    query_blocks, n = -(-asking.count() // QUERIES), usable.count()
+    # more blocks than VECTORS asks for while there are few, for parallel work
+    blocks = max(-(-n // VECTORS), min(int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 4096)), 1)
+    # dealt before they are copied: all copies of a row are in one block of its side
+    dealt = lambda of: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(of)).cast("int")
+    spread = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    query_blocks = max(1, query_blocks)
+    asking = asking.where(F.size("v") > 0).select("query_id", "v", F.size("v").alias("width"), dealt(query_blocks).alias("qb")).select("*", spread(blocks).alias("vb"))
+    usable = usable.select("id", "v", F.size("v").alias("width"), dealt(blocks).alias("vb")).select("*", spread(query_blocks).alias("qb"))
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+
+    def cell(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not q.num_rows or not v.num_rows:
+            return pa.table({"query_id": q.column("query_id").slice(0, 0), "id": v.column("id").slice(0, 0), "similarity": pa.array([], pa.float64())})
+        v = v.take(pc.sort_indices(v, sort_keys=[("id", "ascending")], null_placement="at_start"))
+        at, of, similarity = search_block(matrix(q), matrix(v), k)
+        return pa.table({"query_id": q.column("query_id").take(pa.array(at)), "id": v.column("id").take(pa.array(of)), "similarity": pa.array(similarity, pa.float64(), from_pandas=True)})
+
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((asking, "query_id"), (usable, "id"))]
+    keys = ["width", "qb", "vb"]
+    found = asking.groupBy(*keys).cogroup(usable.groupBy(*keys)).applyInArrow(cell, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col("id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")

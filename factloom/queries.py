@@ -278,6 +278,13 @@ def semantic_search(spark, sf_dir):
     return chunks.semantic_search(vectors.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), vectors)
 
 
+@query()
+def semantic_search_twentieth(spark, sf_dir):
+    """The whole job: every twentieth row asks for its like among all rows."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return chunks.semantic_search(vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), vectors)
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'updated' ELSE c_name END AS c_name, c_mktsegment FROM customer UNION ALL SELECT -1 - c_custkey, 'updated', 'new' FROM customer WHERE c_custkey % 6 = 0", False)
 def upsert(spark, sf_dir):
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from factloom import functions as X
 from factloom import streaming
@@ -206,3 +207,21 @@ def test_project(spark):
     files = [("package.json", '{"dependencies": {"express": "1"}}'), ("src/main/java/A.java", "x"), ("src/a.ts", None)]
     r = project.detect_project(spark.createDataFrame(files, "path string, content string")).first()
     assert (r["languages"], r["frameworks"], r["source_roots"]) == (["java", "typescript"], ["express"], ["src", "src/main/java"])
+
+
+def test_semantic_search_of_many_queries_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(size=3 if i % 7 else 2).round(1).tolist()) for i in range(1500)]  # ties and two lengths
+    vectors += [(1500, [0.0, 0.0, 0.0]), (1501, None), (1502, [1.0, None, 0.0])]
+    asked = [(i, v) for i, v in vectors[:1200]]
+    monkeypatch.setattr(chunks, "QUERIES", 500)
+    monkeypatch.setattr(chunks, "VECTORS", 400)
+    got = {}
+    for r in chunks.semantic_search(spark.createDataFrame(asked, "query_id long, query array<double>"), spark.createDataFrame(vectors, "id long, embedding array<double>"), 4).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["similarity"])
+    assert len(got) == len(asked)
+    for i, q in asked[::10]:
+        of = [(c, np.dot(q, v) / (np.linalg.norm(q) * np.linalg.norm(v)) if any(v) and any(q) else None) for c, v in vectors if v and None not in v and len(v) == len(q)]
+        want = sorted(((c, None if x is None else round(x, 4)) for c, x in of), key=lambda p: (p[1] is None, -(p[1] or 0), p[0]))[:4]
+        assert [got[i][n][1] for n in range(1, 5)] == pytest.approx([x for _, x in want], abs=1.01e-4)
+        assert [got[i][n][0] for n in range(1, 5)] == [c for c, _ in want], i
