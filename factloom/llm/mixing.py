@@ -2,7 +2,8 @@
 
 A source's schedule is a piecewise linear weight over training time 0..1. Its integral is the source's
 cumulative token demand; the target fixes the demand's end, and inverting it puts every document at the
-training time when its tokens are asked for. The result is range-sorted by that position.
+training time when its tokens are asked for, once for each pass that takes it. The result is range-sorted by that
+position.
 
 Targets: sources in code point order (null last) share `budget` times all sizes by weight; none gets more than
 `ceiling` times its size, and what is cut is shared again among the others by weight.
@@ -76,7 +77,8 @@ def mix(
     schedule: Callable[[int], Schedule] = default_schedule,
     max_sources: int = 100_000,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and position, for every row of docs(doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken, position and second_position, for every row of docs(doc_id, text,
+    source). position is that of the first pass, second_position that of the second, null if it takes nothing.
 
     Sources are a small dimension that weights are given for: beyond max_sources this raises, it drops none.
     """
@@ -107,8 +109,10 @@ def mix(
     start = F.col("_before") + F.col("_inside")
     pass_ = lambda at: F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_goal") - at))
     taken = F.when(F.col("source_size") > 0, pass_(start) + pass_(F.col("source_size") + start)).otherwise(0)
-    share = F.least(F.lit(1.0), F.coalesce(start / F.nullif(F.col("_goal"), F.lit(0)), F.lit(1.0)))
-    return rows.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), _interpolated(F.col("_at"), share).alias("position"))
+    again = F.col("source_size") + start
+    share = lambda at: F.least(F.lit(1.0), F.coalesce(at / F.nullif(F.col("_goal"), F.lit(0)), F.lit(1.0)))
+    second = F.when((F.col("source_size") > 0) & (pass_(again) > 0), _interpolated(F.col("_at"), share(again)))
+    return rows.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), _interpolated(F.col("_at"), share(start)).alias("position"), second.alias("second_position"))
 
 
 def _interpolated(grid: Column, share: Column) -> Column:
@@ -130,7 +134,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     size = F.greatest(F.col("size"), F.lit(1))
     whole, rest = F.floor(F.col("taken") / size), F.col("taken") % size
     words = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    mixed = mixed.where("taken > 0").select("*", F.explode(words).alias("_words"))
+    mixed = mixed.where("taken > 0").select("*", F.posexplode(words).alias("_pass", "_words"))
+    mixed = mixed.withColumn("position", F.when(F.col("_pass") == 0, F.col("position")).otherwise(F.col("second_position")))
     text = F.col("doc_id")["text"]
     pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.when(F.col("_words") < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")).otherwise(text)

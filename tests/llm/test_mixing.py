@@ -53,3 +53,15 @@ def test_documents_are_cut_and_repeated(documents, odd_documents):
         assert out.columns == docs.columns
         words = sum(len(WORD.findall(r["text"] or "")) for r in out.collect())
         assert words == sum(r["taken"] for r in M.mix(docs).collect())
+
+
+def test_both_passes_follow_the_schedule(spark):
+    docs = spark.createDataFrame([(i, "one two three four five", "a" if i < 400 else "b") for i in range(1200)], "doc_id long, text string, source string")
+    rising = {"weights": (9, 1), "schedule": lambda i: lambda t: 2 * t}  # a gets twice its size
+    rows = M.mix(docs, **rising).where("source = 'a'").collect()
+    assert all(r["taken"] == 10 and r["position"] < r["second_position"] for r in rows)
+    times = sorted(t for r in rows for t in (r["position"], r["second_position"]))
+    for t in (0.25, 0.5, 0.75, 0.9):
+        assert sum(x <= t for x in times) / 800 == pytest.approx(t * t, abs=0.02)
+    order = [r["doc_id"] for r in M.mix_documents(docs, **rising).where("source = 'a'").collect()]
+    assert len(order) == 800 and len(set(order[:400])) == 400 and order[:400] == order[400:]
