@@ -53,3 +53,13 @@ def test_odd_texts(documents, odd_documents, no_documents):
     assert L.identify(no_documents, model).count() == 0
     nothing = L.learn(no_documents, F.lit(True))
     assert {(r["lang_pred"], r["score"]) for r in L.identify(odd_documents, nothing).collect()} == {("und", 0.0)}
+
+
+def test_null_and_hot_ids_teach_within_the_bound(spark, odd_documents, monkeypatch):
+    L.learn(odd_documents.union(odd_documents.where("doc_id is null")), F.lit(True), epochs=1)
+    rows = [(i % 3 and i, f"word{i} of a text", "en") for i in range(3000)] + [(None, f"wort{i} im text", "de") for i in range(900)]
+    rows += [(7, "one text again", "fr")] * 500
+    taught = []
+    monkeypatch.setattr(L, "train", lambda rows, **_: taught.extend(r[2] for r in rows))
+    L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_language=100)
+    assert {x: taught.count(x) for x in ("en", "de")} == {"en": 100, "de": 100} and taught.count("fr") <= 100
