@@ -7,6 +7,7 @@ not name are neither read nor in the way, whatever their names.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -49,14 +50,19 @@ def _own_folder() -> str:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return _own_folder()
 
 
 class Scratch:
     """Tables written below spark.checkpoint.dir, the folder that all executors share.
 
-    keep() cuts the lineage: a lost executor costs tasks, not tables. Where the setting is absent (tests,
-    notebooks) a temporary folder of this machine serves.
+    keep() cuts the lineage: a lost executor costs tasks, not tables. Where the setting is absent a temporary folder
+    of this machine serves a local master (tests, notebooks); a cluster must name one.
     """
 
     def __init__(self, spark: SparkSession, name: str):

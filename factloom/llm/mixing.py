@@ -126,19 +126,15 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with docs' own columns, in training order: one row for each time that a document
-    is taken; a pass that takes a part of it has the text up to the end of the last word taken."""
+    """The documents of the mix with docs' own columns, in training order: one row for each pass that takes a document.
+
+    Texts stay whole: of the document that a source's target ends in, the pass counts if the target asks for half of
+    it or more. So a source's words are within half a document of its target.
+    """
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     mixed = mix(docs.select(row.alias("doc_id"), F.col("text"), F.col("source")), **options)
-    size = F.greatest(F.col("size"), F.lit(1))
-    whole, rest = F.floor(F.col("taken") / size), F.col("taken") % size
-    words = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    mixed = mixed.where("taken > 0").select("*", F.posexplode(words).alias("_pass", "_words"))
-    mixed = mixed.withColumn("position", F.when(F.col("_pass") == 0, F.col("position")).otherwise(F.col("second_position")))
-    text = F.col("doc_id")["text"]
-    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.when(F.col("_words") < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")).otherwise(text)
-    columns = [(cut if c == "text" else F.col("doc_id")[c]).alias(c) for c in names]
-    columns = [F.length(cut).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else x for c, x in zip(names, columns, strict=True)]
-    return mixed.orderBy("position").select(*columns)
+    times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
+    mixed = mixed.where(times > 0).select("*", F.explode(F.sequence(F.lit(1), times)).alias("_pass"))
+    mixed = mixed.withColumn("_at", F.when(F.col("_pass") == 1, F.col("position")).otherwise(F.col("second_position")))
+    return mixed.orderBy("_at").select(*[F.col("doc_id")[c].alias(c) for c in names])

@@ -17,14 +17,17 @@ Defined results: null and empty texts have no spans. Offsets are code points, th
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructType
 
 from factloom.llm.common import Scratch
 
@@ -41,7 +44,7 @@ _DIGITS = re.compile(r"[0-9]")
 #: Identifier-like tokens: a run of name characters with at least four digits or an at sign, of six or more.
 _TOKEN = re.compile(r"[A-Za-z0-9+][A-Za-z0-9@._+/=-]{5,}")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Characters of context looked at on either side of a token.
+#: Characters of a context word that count, those nearest to the token.
 NEAR = 80
 ROUNDS = 3
 CONFIDENT = 0.8
@@ -102,8 +105,10 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
     covered = sorted((s, e) for _, s, e in spans)
     out = [(s, e, True) for s, e in sorted(set(covered))]
     starts, ends = [s for s, _ in covered], list(accumulate((e for _, e in covered), max))
+    at = []
     for m in _WORD.finditer(text):
         word = m[0]
+        at.append(m.span())
         if len(word) < 6 or not _DIGITS.search(word) and "@" not in word:
             continue
         for t in _TOKEN.finditer(word):
@@ -115,9 +120,13 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
                 if not before or ends[before - 1] <= s:
                     out.append((s, e, False))
     rows = []
+    word_starts, word_ends = [s for s, _ in at], [e for _, e in at]
     for s, e, seed in out:
-        left = _WORD.findall(text[max(0, s - NEAR) : s].lower())[-2:]
-        right = _WORD.findall(text[e : e + NEAR].lower())[:1]
+        # a word that the token is a part of counts up to it
+        n = bisect_left(word_starts, s)
+        left = [text[max(a, min(b, s) - NEAR) : min(b, s)].lower() for a, b in at[max(0, n - 2) : n]]
+        n = bisect_right(word_ends, e)
+        right = [text[max(a, e) : min(b, max(a, e) + NEAR)].lower() for a, b in at[n : n + 1]]
         patterns = [_hash("ll", *left)] if len(left) == 2 else []
         if left and right:
             patterns.append(_hash("lr", left[-1], right[0]))
@@ -133,7 +142,7 @@ _FOUND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool
 def _scanned(docs: DataFrame) -> DataFrame:
     """docs' columns but text, with base (spans) and found (tokens with their patterns)."""
     others = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(others).schema)
+    schema = StructType([f for f in docs.schema if f.name != "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +153,9 @@ def _scanned(docs: DataFrame) -> DataFrame:
                 found.append([dict(zip(("start", "end", "seed", "instance", "patterns"), x, strict=True)) for x in tokens(text or "", spans)])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_FOUND))], names=[*others, "base", "found"])
 
-    span, found = "struct<kind:int,start:int,end:int>", "struct<start:int,end:int,seed:boolean,instance:bigint,patterns:array<bigint>>"
-    return docs.select("text", *others).mapInArrow(run, f"{kinds}, base array<{span}>, found array<{found}>")
+    for name, kind in (("base", _SPAN), ("found", _FOUND)):
+        schema = schema.add(name, from_arrow_type(pa.list_(kind)))
+    return docs.select("text", *others).mapInArrow(run, schema)
 
 
 def confident_patterns(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -185,22 +195,27 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def clean(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text with each of spans (start, end, kind) as its kind in angle brackets; overlapping spans are one, the first."""
+    out, at = [], 0
+    for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
+        if start >= at:
+            out += [text[at:start], f"<{(*KINDS, CONTEXT)[kind].upper()}>"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span, base and context, replaced by its kind in angle brackets; overlapping spans are one."""
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`").alias(c) for c in names])
     found = extract(docs.select("text", row.alias("_doc")))
-    labels = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, CONTEXT)])
-    spans = F.sort_array(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-    text = F.coalesce(F.col("_doc")["text"], F.lit(""))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-
-    def step(acc, s):
-        end = -s["less"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] >= acc["at"], F.struct(end.alias("at"), F.concat(acc["text"], gap, F.get(labels, s["kind"])).alias("text"))).otherwise(F.struct(F.greatest(acc["at"], end).alias("at"), acc["text"].alias("text")))
-
-    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = found.select("_doc", F.when(F.size(F.concat("base", "more")) > 0, clean).otherwise(F.col("_doc")["text"]).alias("_clean"))
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, starts: pd.Series, ends: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([clean(t, list(zip(a.tolist(), b.tolist(), c.tolist(), strict=True))) if len(a) else t for t, a, b, c in zip(texts, starts, ends, kinds, strict=True)], dtype=object)
+
+    spans = F.concat("base", "more")
+    found = found.select("_doc", cleaned(F.col("_doc")["text"], *[spans.getField(c) for c in ("start", "end", "kind")]).alias("_clean"))
     out = [F.col("_clean").alias(c) if c == "text" else F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_doc")[c].alias(c) for c in names]
     return found.select(*out)

@@ -182,7 +182,8 @@ def learn_list(x: np.ndarray, bad: np.ndarray, folds: np.ndarray, *, min_precisi
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options) -> list[Rule]:
-    """Rules for low quality (labels.quality = 0), from at most `sample` labelled ids, those of smallest hash.
+    """Rules for low quality (labels.quality = 0), from at most `sample` labelled ids, those of smallest hash, and one
+    text of each, that of smallest hash.
 
     The base rules decide alone where they reject, so only what they leave is learned from.
     """
@@ -194,8 +195,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options
         .limit(sample)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by `sample`
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     stats = rows.select("doc_id", "quality", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3)).alias("_fold"), statistics(text_of()).alias("s"))
-    got = [r for r in stats.limit(2 * sample).collect() if not r["s"]["base_failed"]]
+    got = [r for r in stats.collect() if not r["s"]["base_failed"]]
     got.sort(key=lambda r: (r["doc_id"], *r["s"]))
     if not got:
         return []

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import let, text_of
+from factloom.llm.common import Scratch, let, text_of
 
 #: The base patterns; a match must have at least so many characters (of group 2 for assign).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,24 +47,44 @@ LENGTHS = (24, 32, 48, 96)
 CELLS = 20
 
 
+#: Matches whose places are summed one by one; longer lists are summed in stretches of so many.
+STRETCH = 256
+_SPANS = "array<struct<start:int,end:int,hit:string>>"
+
+
+def _running(sizes: Column) -> Column:
+    """For each of sizes (gap, hit) the sum of all before it and its own gap: stretches from zero, then their bases.
+
+    Appending copies the array so far, so folding a stretch costs its length squared, and the whole list costs
+    STRETCH times its length.
+    """
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+    fold = lambda part: F.aggregate(part, zero(F.lit(0)), lambda acc, x: F.struct((acc["at"] + x["gap"] + x["hit"]).alias("at"), F.array_append(acc["out"], acc["at"] + x["gap"]).alias("out")))
+    count = F.floor((F.size(sizes) - 1) / STRETCH).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count), lambda i: fold(F.slice(sizes, i * STRETCH + 1, F.lit(STRETCH))))
+
+    def based(parts: Column) -> Column:
+        bases = F.aggregate(parts, zero(F.lit(0)), lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        return let(bases, lambda bases: F.flatten(F.transform(parts, lambda p, i: let(F.get(bases, i), lambda base: F.transform(p["out"], lambda x: x + base)))))
+
+    return let(parts, based)
+
+
 def _found(text: Column, pattern: str, passes) -> Column:
-    """(start, end) of the leftmost non-overlapping matches that pass: matches and what lies between alternate."""
-    lengths = lambda array: F.transform(array, lambda x: F.length(x))
+    """(start, end, hit) of the leftmost non-overlapping matches that pass: matches and what lies between alternate."""
 
     def spans(between: Column, hits: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["hit"]).alias("at"), F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts"))
-        pairs = F.transform(hits, lambda hit, i: F.struct(F.length(hit).alias("hit"), F.get(between, i).alias("gap")))
+        sizes = F.transform(hits, lambda hit, i: F.struct(F.length(hit).alias("hit"), F.length(F.get(between, i)).alias("gap")))
         return let(
-            F.aggregate(pairs, zero, step, lambda acc: acc["starts"]),
+            let(sizes, _running),
             lambda starts: F.filter(
-                F.transform(hits, lambda hit, i: F.when(passes(hit), F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(hit)).alias("end")))),
+                F.transform(hits, lambda hit, i: F.when(passes(hit), F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(hit)).alias("end"), hit.alias("hit")))),
                 lambda s: s.isNotNull(),
             ),
         )
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(hits, lambda hits: F.when(F.size(hits) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(let(lengths(F.split(text, pattern, -1)), lambda between: spans(between, hits))))
+    return let(hits, lambda hits: F.when(F.size(hits) == 0, F.array().cast(_SPANS)).otherwise(let(F.split(text, pattern, -1), lambda between: spans(between, hits))))
 
 
 def _kind_spans(text: Column, kind: str, pattern: str, least: int) -> Column:
@@ -133,14 +153,17 @@ def _length_class(n: Column) -> Column:
     return reduce(lambda a, b: a + b, ((n >= x).cast("int") for x in LENGTHS))
 
 
-def with_tests(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) as doc_id, _text and _runs: (start, end, x: encoding, length class and cell of p) of each run."""
+def scanned(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) as doc_id, kinds (the base spans of each kind) and _runs: (start, end, x: encoding, length
+    class and cell of p) of each run that the battery looks at."""
+    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    def runs(text: Column) -> Column:
-        tested = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _battery(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("x"))
-        return F.transform(_found(text, RUN, lambda hit: F.lit(True)), tested)
+    def found(text: Column) -> Column:
+        tested = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _battery(s["hit"]).alias("x"))
+        kinds = F.struct(*[bare(_kind_spans(text, *k)).alias(k[0]) for k in KINDS])
+        return F.struct(kinds.alias("kinds"), F.transform(_found(text, RUN, lambda hit: F.lit(True)), tested).alias("runs"))
 
-    return docs.select("doc_id", text_of().alias("_text"), let(text_of(), runs).alias("_runs"))
+    return docs.select("doc_id", let(text_of(), found).alias("_f")).select("doc_id", F.col("_f.kinds").alias("kinds"), F.col("_f.runs").alias("_runs"))
 
 
 def discoveries(tests: DataFrame, q: float) -> dict[tuple[int, int], int]:
@@ -164,19 +187,15 @@ def discoveries(tests: DataFrame, q: float) -> dict[tuple[int, int], int]:
 
 
 def scan(docs: DataFrame, *, q: float = 0.05) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_spans and spans (arrays of start, order, kind, end)."""
-    tests = with_tests(docs)
+    """doc_id, n_assign, n_access, n_hex, base_spans and spans (arrays of start, order, kind, end).
+
+    Texts are read once: what is kept of them, spans and the battery's cells, serves the false discovery rates and
+    the result.
+    """
+    tests = Scratch(docs.sparkSession, "secrets").keep(scanned(docs))
     threshold = discoveries(tests, q)
     is_random = lambda r: reduce(lambda a, b: a | b, ((r["x"]["encoding"] == e) & (r["x"]["length"] == n) & (r["x"]["cell"] >= cell) for (e, n), cell in sorted(threshold.items())), F.lit(False))
-
-    def collected(random: Column, kinds: Column) -> Column:
-        parts = [_kinded(kinds[kind], kind, i) for i, (kind, _, _) in enumerate(KINDS)]
-        return F.struct(
-            *[F.size(kinds[kind]).cast("long").alias(f"n_{kind}") for kind, _, _ in KINDS],
-            F.sort_array(F.concat(*parts)).alias("base_spans"),
-            F.sort_array(F.concat(*parts, _kinded(random, "random", len(KINDS)))).alias("spans"),
-        )
-
-    kinds = F.struct(*[_kind_spans(F.col("_text"), *k).alias(k[0]) for k in KINDS])
-    found = let(F.filter("_runs", is_random), lambda random: let(kinds, lambda k: collected(random, k)))
-    return tests.select("doc_id", found.alias("_found")).select("doc_id", "_found.*")
+    parts = [_kinded(F.col("kinds")[kind], kind, i) for i, (kind, _, _) in enumerate(KINDS)]
+    random = _kinded(F.filter("_runs", is_random), "random", len(KINDS))
+    counts = [F.size(F.col("kinds")[kind]).cast("long").alias(f"n_{kind}") for kind, _, _ in KINDS]
+    return tests.select("doc_id", *counts, F.sort_array(F.concat(*parts)).alias("base_spans"), F.sort_array(F.concat(*parts, random)).alias("spans"))

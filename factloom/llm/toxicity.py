@@ -34,6 +34,15 @@ IDENTITY_GROUPS = (
     ("old", "young"),
     ("disabled", "blind", "deaf"),
     ("immigrants", "refugees", "natives"),
+    ("femmes", "hommes", "filles"),
+    ("musulmans", "chrétiens", "juifs"),
+    ("immigrés", "réfugiés"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden"),
+    ("einwanderer", "flüchtlinge"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos"),
+    ("inmigrantes", "refugiados"),
 )
 
 
@@ -140,7 +149,8 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options) -> Model:
-    """A model from at most `sample` ids of labels(doc_id, toxic), those of smallest hash."""
+    """A model from at most `sample` ids of labels(doc_id, toxic), those of smallest hash, and one text of each, that of
+    smallest hash."""
     picked = (
         labels.where("toxic is not null and doc_id is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -149,7 +159,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options
         .limit(sample)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # bounded by `sample`
-    got = sorted(_features(rows).limit(2 * sample).collect(), key=lambda r: (r["doc_id"], bytes(r["at"])))
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = sorted(_features(rows).collect(), key=lambda r: r["doc_id"])
     return train([(np.frombuffer(r["at"], np.int32).astype(np.int64), r["toxic"]) for r in got], **options)
 
 

@@ -21,9 +21,9 @@ TEXTS = [
 @pytest.fixture(scope="session")
 def odd_documents(spark):
     """Nulls, ties, repeated rows and extra columns whose names operators might use themselves."""
-    rows = [(i, t, ["en", "de", None][i % 3], ["a", "b", None][i % 3], len(t or ""), "x", -1) for i, t in enumerate(TEXTS)]
-    rows += [rows[5], (None, "a null id with a text", "en", "a", 21, "x", -1), (None, None, None, None, None, "x", -1)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, size int")
+    rows = [(i, t, ["en", "de", None][i % 3], ["a", "b", None][i % 3], len(t or ""), "x", -1, i, "w", True, "b", 1.5) for i, t in enumerate(TEXTS)]
+    rows += [rows[5], (None, "a null id with a text", "en", "a", 21, "x", -1, 0, None, None, "b", 2.5), (None, None, None, None, None, "x", -1, 0, None, None, "b", 2.5)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, size int, _row int, _words string, _kept boolean, base string, `found.x` double")
 
 
 @pytest.fixture(scope="session")

@@ -41,6 +41,19 @@ def test_held_out_accuracy(documents):
     assert len(kept) >= 0.9 * len(got)
 
 
+def test_predictions_equal_plain_averages(documents):
+    model = L.learn(documents, F.lit(True), per_language=50, epochs=2)
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.limit(60).collect()}
+    for r in L.identify(documents.limit(60), model).collect():
+        grams = naive(texts[r["doc_id"]])
+        at = [int(L.subwords([g.replace("\0", " ")])[0][0]) if len(g) == 2 else None for g in grams]
+        at = L.subwords([texts[r["doc_id"]]])[0] if None in at else np.array(at)
+        assert len(at) == len(grams)
+        z = np.array([np.mean([model.table[b][k] for b in at]) for k in range(len(model.languages))]) + model.bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r["lang_pred"] == model.languages[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-4
+
+
 def test_odd_texts(documents, odd_documents, no_documents):
     model = L.learn(documents, F.lit(True), per_language=50, epochs=2)
     rows = L.identify(odd_documents, model).collect()

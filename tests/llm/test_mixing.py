@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 from factloom.llm import mixing as M
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,12 +48,18 @@ def test_positions_follow_the_schedule():
     assert rising[M.GRID // 4] == pytest.approx(0.5, abs=1e-3)  # a quarter of the demand is asked for by half time
 
 
-def test_documents_are_cut_and_repeated(documents, odd_documents):
+def test_documents_are_repeated_and_stay_whole(documents, odd_documents):
     for docs in (documents, odd_documents):
         out = M.mix_documents(docs)
         assert out.columns == docs.columns
-        words = sum(len(WORD.findall(r["text"] or "")) for r in out.collect())
-        assert words == sum(r["taken"] for r in M.mix(docs).collect())
+        times = defaultdict(int)
+        for r in out.collect():
+            times[r["doc_id"], r["text"]] += 1
+        want = defaultdict(int)
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        for r in M.mix(docs.withColumn("doc_id", row)).collect():
+            want[r["doc_id"]["doc_id"], r["doc_id"]["text"]] += int(r["taken"] / max(1, r["size"]) + 0.5)
+        assert times == {k: n for k, n in want.items() if n}
 
 
 def test_both_passes_follow_the_schedule(spark):

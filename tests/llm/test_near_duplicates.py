@@ -91,7 +91,19 @@ def test_odd_documents(odd_documents, no_documents):
     assert N.near_duplicates(no_documents).count() == 0
     kept = N.drop_near_duplicates(odd_documents, k=3, percent=85)
     assert kept.columns == odd_documents.columns
-    assert kept.count() == odd_documents.count() - sum(not r["kept"] for r in rows)
+    nulls = sum(r["doc_id"] is None for r in rows)
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({r["doc_id"] for r in rows if r["kept"] and r["doc_id"] is not None})
+    assert kept.where("doc_id is null").count() == nulls
+
+
+def test_one_row_of_each_document_stays(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    rows = [(i, text(i), "s") for i in range(3)] * 2 + [(5, text(5), "s"), (5, text(6), "t"), (9, text(6), "s")] + [(7, text(7), "s")] * 50 + [(None, text(0), "s")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = N.drop_near_duplicates(docs, k=3, percent=85).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 1, 2, 5, 7]
+    assert sum(r["doc_id"] is None for r in kept) == 2
+    assert kept and sorted(map(tuple, kept), key=str) == sorted(map(tuple, N.drop_near_duplicates(docs, k=3, percent=85).collect()), key=str)
 
 
 def test_pruning_keeps_what_is_similar():

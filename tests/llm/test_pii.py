@@ -1,7 +1,9 @@
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from factloom.llm import pii as P
+from factloom.llm.common import Scratch
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -54,3 +56,50 @@ def test_redacted(odd_documents, documents):
         assert not any(brute(r["text"] or "") for r in out.collect())
     (mail,) = [r["text"] for r in P.redact(odd_documents).where("doc_id = 9").collect()]
     assert mail == "mail <EMAIL> now, <PHONE>, <IP>, card <CARD>."
+
+
+def test_pattern_scores_equal_plain_rounds(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(30), rng.randrange(120), rng.random() < 0.5) for _ in range(900)] + [(99, i, True) for i in range(20)]
+    got = {r["pattern"] for r in P.confident_patterns(spark.createDataFrame(edges, "pattern long, instance long, seed boolean"), Scratch(spark, "t")).collect()}
+    seed = defaultdict(bool)
+    for p, i, s in edges:
+        seed[p, i] |= s
+    of = defaultdict(list)
+    for (p, i), s in seed.items():
+        of[p].append((i, s))
+    start = defaultdict(bool)
+    for (p, i), s in seed.items():
+        start[i] |= s
+    score = {i: float(s) for i, s in start.items()}
+    for _ in range(P.ROUNDS):
+        sure = {p: sum(score[i] for i, _ in x) / len(x) for p, x in of.items() if sum(s for _, s in x) >= P.SEEDS}
+        sure = {p: c for p, c in sure.items() if c >= P.CONFIDENT}
+        wrong = defaultdict(lambda: 1.0)
+        for p, c in sure.items():
+            for i, _ in of[p]:
+                wrong[i] *= max(1 - c, 1e-6)
+        score = {i: max(float(start[i]), 1 - wrong[i] if i in wrong else 0.0) for i in start}
+    assert got == set(sure) and 99 in got
+
+
+def test_context_is_whole_words():
+    text = "a" * 300 + " " + "b" * 200 + " x-12345 " + "c" * 90
+    (found,) = P.tokens(text, [])
+    assert found[4] == [P._hash("ll", "a" * 80, "b" * 80), P._hash("lr", "b" * 80, "c" * 80)]
+    assert P.clean("0123456789", [(1, 3, 0), (2, 6, 1), (7, 8, 4)]) == "0<EMAIL>6<CONTEXT>89"
+
+
+def test_precision_and_recall_of_context_spans(spark):
+    """Badges after known contexts, in sentences that also hold codes of other kinds."""
+    rng = random.Random(3)
+    rows, planted = [], set()
+    for i in range(400):
+        lead = rng.choice(["please write to", "contact us via", "send mail to"])
+        if i % 10:
+            rows.append((i, f"Note {i}: {lead} user{i}@mail{i % 7}.org before noon. The part no code-{rng.randrange(10**6):06d} is out"))
+        else:
+            rows.append((i, f"Note {i}: {lead} badge-{rng.randrange(10**6):06d} before noon. The part no code-{rng.randrange(10**6):06d} is out"))
+            planted.add((i, rows[-1][1].index("badge"), rows[-1][1].index(" before")))
+    found = {(r["doc_id"], s["start"], s["end"]) for r in P.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r["more"]}
+    assert len(found & planted) >= 0.95 * len(planted) and len(found & planted) >= 0.95 * len(found)

@@ -1,6 +1,11 @@
+import base64
+import hashlib
 import re
+from collections import defaultdict
 
 import corpus_pipeline
+import public_tokenizers
+import tiktoken
 from factloom.llm import mixing
 from factloom.llm.common import Scratch
 from test_near_duplicates import brute as components
@@ -31,11 +36,36 @@ def test_stages(spark, documents):
     clean = {r["doc_id"]: r["text"] for r in before if not personal(r["text"])}
     assert sum(r["text"] == clean[r["doc_id"]] for r in after if r["doc_id"] in clean) >= 0.99 * len(clean)
     before, after = kept["mixing"]
-    words = sum(len(WORD.findall(r["text"])) for r in before)
-    sources = len({r["source"] for r in before})
-    assert abs(sum(len(WORD.findall(r["text"])) for r in after) - 1.5 * words) <= sources
+    texts = {r["doc_id"]: r["text"] for r in before}
+    assert all(r["text"] == texts[r["doc_id"]] for r in after)  # whole texts
+    sizes, longest, got = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in before:
+        n = len(WORD.findall(r["text"]))
+        sizes[r["source"]] += n
+        longest[r["source"]] = max(longest[r["source"]], n)
+    for r in after:
+        got[r["source"]] += len(WORD.findall(r["text"]))
+    names = sorted(sizes)
+    for name, goal in zip(names, mixing.targets([sizes[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))]), strict=True):
+        assert abs(got[name] - goal) <= longest[name] / 2 + 1
+    want = {r["doc_id"]: r["text"] for r in after}
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    assert len(last) == len(after) and all(r["n_tokens"] > 0 for r in last)
+    assert len(last) == len(after)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in last[::10]:
+        ids = library.encode_ordinary(want[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest()
+
+
+def test_stages_survive_odd_documents(spark, odd_documents, no_documents):
+    """Nulls, repeated rows, ties and columns that clash with names inside the operators, through every stage."""
+    for docs in (odd_documents, no_documents):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = Scratch(spark, "test").keep(stage(spark, docs, "/root/testdata/sf0.001"))
+            assert docs.columns == odd_documents.columns
+        corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
 
 
 def test_run(spark):

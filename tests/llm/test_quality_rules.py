@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 from factloom.llm import quality_rules as Q
+from factloom.llm.common import text_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,6 +51,12 @@ def test_list_as_column_rejects_in_order(documents, spark):
     quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
     good = [i for i, q in quality.items() if q == 1 and not got[i]["base_failed"]]
     assert sum(not got[i]["kept"] for i in good) <= 0.03 * len(good)
+    assert rules
+    stats = {r["doc_id"]: r for r in documents.select("doc_id", Q.statistics(text_of()).alias("s")).select("doc_id", "s.*").collect()}
+    for i, r in got.items():  # the first rule that covers the statistics
+        x = np.array([[stats[i][f] for f in Q.FEATURES]], float)
+        first = next((n for n, rule in enumerate(rules, 1) if rule.covers(x)[0]), 0)
+        assert r["rule"] == first and r["kept"] == (not r["base_failed"] and first == 0)
     kept = Q.filter_documents(documents, rules)
     assert kept.columns == documents.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}

@@ -1,7 +1,12 @@
+import math
+import re
+
 import numpy as np
 from factloom.llm import toxicity as X
 from pyspark.sql import functions as F
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 def test_held_out_labels(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
@@ -17,6 +22,28 @@ def words(text):
     return X.buckets(data, np.array([0, len(data)]))[1]
 
 
+def test_scores_equal_plain_sums(spark, documents, odd_documents):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = X.learn(documents, labels)
+    for docs in (documents.limit(200), odd_documents):
+        texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+        for r in X.score(docs, model).collect():
+            if r["doc_id"] is None:
+                continue
+            distinct = {w.translate(LOWER) for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", texts[r["doc_id"]])}
+            z = model.bias + sum(model.weights[b] for b in {int(words(w)[0]) for w in distinct})
+            assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_one_text_of_an_id_teaches(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "good")], "doc_id long, text string")
+    taught = []
+    monkeypatch.setattr(X, "train", lambda rows, **_: taught.append([bytes(a) for a, _ in rows]))
+    for _ in range(2):
+        X.learn(docs.repartition(7), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), sample=5)
+    assert len(taught[0]) == 2 and taught[0] == taught[1]
+
+
 def test_penalty_keeps_neutral_mentions_low():
     rng = np.random.default_rng(0)
     filler = [f"w{i}" for i in range(200)]
