@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = "\x1f"
@@ -24,10 +26,22 @@ def short_hash(*parts: Column, separator: str = SEPARATOR) -> Column:
 
 
 def identity_part(c: Column) -> Column:
-    """Trimmed, with forward slashes. Spark has no NFC: non-ASCII names must come normalised."""
+    """Trimmed, with forward slashes. Names must be in NFC: normalised() brings them there."""
     return F.replace(F.trim(c), F.lit("\\"), F.lit("/"))
 
 
+def normalised(df: DataFrame, *columns: str) -> DataFrame:
+    """df with these columns in NFC. Spark has no function for it, so rows with other than ASCII in them go through
+    Python; the others don't."""
+    other = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).rlike(r"[^\x00-\x7F]"), F.lit(False)) for c in columns))
+
+    @F.pandas_udf("string")
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFC")
+
+    return df.where(~other).union(df.where(other).withColumns({c: nfc(c) for c in columns}))
+
+
 def entity_stable_key(repository: Column, kind: Column, language: Column, qualified_name: Column, syntax_path: Column | None = None) -> Column:
     """repo:kind:hash of who and where an entity is; null if it has neither a qualified name nor a syntax path."""
     name = F.when(F.trim(qualified_name) != "", F.concat(F.lit("name:"), identity_part(qualified_name)))
@@ -68,6 +82,14 @@ def title_from_path(c: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
 
 
+#: What counts as white space at the ends of a text: ASCII, no-break and Unicode's own, line ends.
+WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE))
+
+
 def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -89,19 +111,34 @@ REDACTIONS = (
 )
 
 
+#: Of each pattern, lower-case texts one of which every match holds.
+HINTS = (("private key-----",), ("key", "token", "secret", "password"), ("bearer",), ("://",))
+
+
+def _word_edges(pattern: str) -> str:
+    """Each word boundary as the one look-around that does: the patterns have a word character on its inner side."""
+    return re.sub(r"^((?:\(\?i\))?\(?)\\b", r"\1(?<!\\w)", pattern).replace(r"\b", r"(?!\w)")
+
+
 def redact_secrets(c: Column) -> Column:
     """A struct of the text without secrets and their number; each pattern runs on what the one before left."""
 
-    def one(acc: Column, pattern: str, instead: str) -> Column:
-        return F.get(
-            F.transform(
-                F.array(acc),
-                lambda a: F.struct(F.regexp_replace(a["content"], pattern, instead).alias("content"), (a["count"] + F.regexp_count(a["content"], F.lit(pattern))).alias("count")),
-            ),
-            F.lit(0),
-        )
+    def let(x: Column, body) -> Column:
+        return F.get(F.transform(F.array(x), body), F.lit(0))
+
+    def one(acc: Column, pattern: str, instead: str, hints: tuple[str, ...]) -> Column:
+        def found(a: Column) -> Column:
+            there = reduce(lambda x, y: x | y, (F.contains(a["lower"], F.lit(h)) for h in hints))
+            clean = F.struct(F.regexp_replace(a["content"], pattern, instead).alias("content"), (a["count"] + F.regexp_count(a["content"], F.lit(pattern))).alias("count"), a["lower"].alias("lower"))
+            return F.when(there, clean).otherwise(a)
+
+        return let(acc, found)
 
-    return reduce(lambda acc, p: one(acc, ascii_words(p[0]), p[1]), REDACTIONS, F.struct(F.coalesce(c, F.lit("")).alias("content"), F.lit(0).alias("count")))
+    # a text without any of a pattern's hints can't match it; replacing adds none
+    text = F.coalesce(c, F.lit(""))
+    start = F.struct(text.alias("content"), F.lit(0).alias("count"), F.lower(text).alias("lower"))
+    done = reduce(lambda acc, p: one(acc, _word_edges(p[0]), p[1], p[2]), zip(*zip(*REDACTIONS, strict=True), HINTS, strict=True), start)
+    return let(done, lambda a: F.struct(a["content"].alias("content"), a["count"].alias("count")))
 
 
 #: Folders that hold generated files, and file names that decide a file's kind.

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import redact_secrets, short_hash, usable_vector
+from factloom.functions import redact_secrets, short_hash, trimmed, usable_vector
 
 #: Vectors in a block of queries, and of those searched; queries that are scored at a time.
 QUERIES = 4096
@@ -24,7 +24,7 @@ EXPLANATORY = r"(^|\n)\s*(//|/\*|\*|#)|\b(class|interface|function|fun|public|pr
 
 def eligibility(path: Column, kind: Column, content: Column) -> Column:
     """Why a source becomes chunks; null if it doesn't."""
-    size = F.length(F.trim(content))
+    size = F.length(trimmed(content))
     barred = path.rlike(EXCLUDED) | path.rlike(SECRET_FILE)
     return F.when(barred, None).when((kind == "documentation") & (size >= 40), "explanatory Markdown section").when((kind == "code") & (size >= 80) & content.rlike(EXPLANATORY), "explanatory source span")
 
@@ -39,11 +39,11 @@ def windows(content: Column, most: int = 1800, overlap: int = 3) -> Column:
         tail = F.slice(acc["lines"], F.greatest(F.size(acc["lines"]) - overlap + 1, F.lit(1)), F.lit(overlap))
         return F.when(
             full,
-            F.struct(F.array_append(acc["done"], F.trim(F.array_join(acc["lines"], "\n"))).alias("done"), F.array_append(tail, line).alias("lines"), (F.length(F.array_join(tail, "\n")) + F.length(line) + 1).alias("length")),
+            F.struct(F.array_append(acc["done"], trimmed(F.array_join(acc["lines"], "\n"))).alias("done"), F.array_append(tail, line).alias("lines"), (F.length(F.array_join(tail, "\n")) + F.length(line) + 1).alias("length")),
         ).otherwise(F.struct(acc["done"].alias("done"), F.array_append(acc["lines"], line).alias("lines"), (acc["length"] + F.length(line) + 1).alias("length")))
 
     def finish(acc: Column) -> Column:
-        last = F.trim(F.array_join(acc["lines"], "\n"))
+        last = trimmed(F.array_join(acc["lines"], "\n"))
         return F.when(last != "", F.array_append(acc["done"], last)).otherwise(acc["done"])
 
     return F.aggregate(F.split(content, "\n"), zero, step, finish)
@@ -126,3 +126,24 @@ def semantic_search(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataF
     found = asking.groupBy(*keys).cogroup(usable.groupBy(*keys)).applyInArrow(cell, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col("id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+
+
+def removed_sources(chunks: DataFrame, changes: DataFrame) -> DataFrame:
+    """source_id of chunks(source_id, path) whose file changes(change, path, previous_path) deleted or renamed."""
+    gone = changes.where("change = 'deleted'").select("path").union(changes.where("change = 'renamed'").select("previous_path"))
+    return chunks.join(gone.distinct(), "path", "left_semi").select("source_id").distinct()
+
+
+def code_sources(artifacts: DataFrame, entities: DataFrame) -> DataFrame:
+    """source_id, path, kind, content: one source for each code artifact(path, kind, content) with an entity(path, kind,
+    visibility) that isn't private; lockfiles, tests, configuration and build files are none."""
+    useful = entities.where(F.col("kind").isin("class", "interface", "function", "method", "endpoint") & (F.coalesce("visibility", F.lit("public")) != "private"))
+    code = artifacts.where((F.col("kind") == "code") & ~F.col("path").rlike(r"(^|/)[^/]*\.lock$|-lock\.[a-z]+$"))
+    return code.join(useful.select("path").distinct(), "path", "left_semi").select(F.concat(F.lit("code:"), "path").alias("source_id"), "path", "kind", "content")
+
+
+def projection_status(sources: DataFrame, embedded: DataFrame, enabled: bool) -> DataFrame:
+    """One row: state (disabled, degraded, ready), sources and embedded, by how many of sources(id) embedded(id) has."""
+    both = sources.select("id").distinct().join(embedded.select("id", F.lit(True).alias("_there")).distinct(), "id", "left")
+    state = F.when(~F.lit(enabled), "disabled").when(F.count("_there") < F.count("*"), "degraded").otherwise("ready")
+    return both.agg(state.alias("state"), F.count("*").alias("sources"), F.count("_there").alias("embedded"))

@@ -25,23 +25,27 @@ def entity_diff(base: DataFrame, target: DataFrame, fields: tuple[str, ...] = ("
 
 
 def relationship_index(relationships: DataFrame) -> DataFrame:
-    """One relationship for each (kind, source_key, target_key): the strongest (no confidence counts as 1), then by id.
+    """One relationship for each (kind, source_key, target_key): the strongest (no confidence counts as 1), then by the
+    text of its attributes, if there are any, and by id.
 
     The least of (less confidence, id) is combined before the shuffle, so a pair with many parallel edges is not one task's burden.
     """
     keys = ["kind", "source_key", "target_key"]
-    best = F.min(F.struct((-F.coalesce("confidence", F.lit(1.0))).alias("less"), F.col("id").alias("id"), F.col("confidence").alias("confidence"))).alias("best")
-    return relationships.groupBy(*keys).agg(best).select(*keys, F.col("best.id").alias("id"), F.col("best.confidence").alias("confidence"))
+    more = [c for c in ("attributes",) if c in relationships.columns]
+    best = F.min(F.struct((-F.coalesce("confidence", F.lit(1.0))).alias("less"), *more, F.col("id").alias("id"), F.col("confidence").alias("confidence"))).alias("best")
+    return relationships.groupBy(*keys).agg(best).select(*keys, F.col("best.id").alias("id"), F.col("best.confidence").alias("confidence"), *[F.col(f"best.{c}").alias(c) for c in more])
 
 
 def relationship_diff(base: DataFrame, target: DataFrame) -> DataFrame:
-    """kind, source_key, target_key and change between the strongest relationships of two revisions."""
+    """kind, source_key, target_key and change between the strongest relationships of two revisions: modified if
+    confidence or attributes differ."""
     keys = ["kind", "source_key", "target_key"]
-    b = relationship_index(base).select(*keys, F.lit(True).alias("b"), F.col("confidence").alias("b_confidence"))
-    t = relationship_index(target).select(*keys, F.lit(True).alias("t"), F.col("confidence").alias("t_confidence"))
+    both_have = [c for c in ("confidence", "attributes") if c in base.columns and c in target.columns]
+    side = lambda df, s: relationship_index(df).select(*keys, F.lit(True).alias(s), F.struct(*both_have).alias(f"{s}_body"))
+    b, t = side(base, "b"), side(target, "t")
     there = lambda c: F.coalesce(F.col(c), F.lit(False))
     both = b.join(t, keys, "full_outer")
-    return both.select(*keys, _change(there("b"), there("t"), ~F.col("b_confidence").eqNullSafe(F.col("t_confidence"))).alias("change")).where("change is not null")
+    return both.select(*keys, _change(there("b"), there("t"), ~F.col("b_body").eqNullSafe(F.col("t_body"))).alias("change")).where("change is not null")
 
 
 def diff_summary(*diffs: DataFrame) -> DataFrame:
@@ -83,3 +87,8 @@ def fingerprint(inventory: DataFrame) -> DataFrame:
     row = F.sha2(F.concat_ws("\x1f", "path", "content_hash"), 256)
     part = lambda a: F.sum(F.conv(F.substring(row, a, 15), 16, 10).cast("decimal(38,0)"))
     return inventory.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), part(1).cast("string"), part(16).cast("string")), 256).alias("fingerprint"))
+
+
+def require_same_repository(base: str, target: str) -> None:
+    if base != target:
+        raise ValueError(f"revisions of different repositories: {base} and {target}")

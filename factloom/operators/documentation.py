@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions import collapse_space, normalize_endpoint_path
+from factloom.functions import collapse_space, normalize_endpoint_path, title_from_path
+from factloom.operators.impact import AUTH
 
+#: A heading's and a fence's line.
 _HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*\Z")
 _FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
 
@@ -96,37 +98,40 @@ def extract_claims(sections: DataFrame) -> DataFrame:
     return sections.select("path", "level", "line_start", "body").mapInPandas(run, "path string, line int, kind string, subject string, value string, confidence double, ordinal int")
 
 
-def _finding(df: DataFrame, kind: str, severity: str, status: str = "confirmed") -> DataFrame:
-    return df.select("path", "line", "subject", "value", F.lit(kind).alias("finding"), F.lit(severity).alias("severity"), F.lit(status).alias("status"))
+def _finding(df: DataFrame, kind: str, severity: str, status: str = "confirmed", suggestion: str | None = None) -> DataFrame:
+    better = F.col(suggestion) if suggestion else F.lit(None).cast("string")
+    return df.select("path", "line", "subject", "value", F.lit(kind).alias("finding"), F.lit(severity).alias("severity"), F.lit(status).alias("status"), better.alias("suggestion"))
 
 
 def compare_claims(claims: DataFrame, endpoints: DataFrame, names: DataFrame, configuration: DataFrame, commands: DataFrame, paths: DataFrame) -> DataFrame:
-    """path, line, subject, value, finding, severity, status of claims that facts don't bear out.
+    """path, line, subject, value, finding, severity, status and suggestion of claims that facts don't bear out.
 
-    Facts: endpoints(method, path), names(name, qualified_name), configuration(key, value), commands(command),
-    paths(path). All are equi-joins: a dotted suffix of a qualified name is exploded into the names it answers to.
+    Facts: endpoints(method, path), names(name, qualified_name), configuration(key, value, and ordinal, by which the
+    first of a key's definitions counts, else the least value), commands(command), paths(path). A method's only path
+    is suggested for a stale endpoint, the actual value for a stale configuration. All are equi-joins: a dotted suffix of a qualified name is exploded into the names it answers to.
     """
     of = lambda kind: claims.where(F.col("kind") == kind)
     known = endpoints.select(F.upper("method").alias("subject"), normalize_endpoint_path(F.col("path")).alias("value")).distinct()
-    stale_endpoint = of("endpoint").join(known, ["subject", "value"], "left_anti")
+    only = known.groupBy("subject").agg(F.count("*").alias("_n"), F.min("value").alias("_path")).where("_n = 1").select("subject", "_path")
+    stale_endpoint = of("endpoint").join(known, ["subject", "value"], "left_anti").join(only, "subject", "left")
     parts = F.split("qualified_name", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     answers = names.select(F.explode(F.array_distinct(F.array_compact(F.concat(F.array("name", "qualified_name"), F.coalesce(suffixes, F.array().cast("array<string>")))))).alias("subject")).distinct()
     lost = of("entity").join(answers, "subject", "left_anti")
-    auth = F.col("subject").rlike(r"(?i)auth|security|jwt|token|permission|guard")
+    auth = F.lower("subject").rlike(AUTH)
     sure = F.col("confidence") >= 0.8
-    first = configuration.groupBy(F.col("key").alias("subject")).agg(F.count("*").alias("n"), F.min("value").alias("actual"))
+    first = configuration.groupBy(F.col("key").alias("subject")).agg(F.count("*").alias("n"), F.min(F.struct(*[c for c in ("ordinal",) if c in configuration.columns], "value")).alias("_first")).withColumn("actual", F.col("_first.value"))
     keyed = of("configuration").join(first, "subject", "left")
     wrong = keyed.where(F.col("n").isNull() | (F.col("actual").isNotNull() & (F.col("actual") != F.col("value"))))
     run = of("command").withColumn("command", collapse_space(F.col("subject")))
     stale_command = run.join(commands.select(collapse_space(F.col("command")).alias("command")).distinct(), "command", "left_anti")
     linked = of("source_link").join(paths.select(F.col("path").alias("subject")).distinct(), "subject", "left_anti")
     found = [
-        _finding(stale_endpoint, "stale_endpoint", "high"),
+        _finding(stale_endpoint, "stale_endpoint", "high", suggestion="_path"),
         _finding(lost.where(~sure), "ambiguous_claim", "informational", "review"),
         _finding(lost.where(sure & auth), "removed_entity", "high"),
         _finding(lost.where(sure & ~auth), "removed_entity", "low"),
-        _finding(wrong, "stale_configuration", "high"),
+        _finding(wrong, "stale_configuration", "high", suggestion="actual"),
         _finding(stale_command, "stale_command", "medium"),
         _finding(linked, "stale_source_link", "low"),
     ]
@@ -171,3 +176,23 @@ def mermaid(edges: DataFrame, n: int = 30) -> DataFrame:
     nodes = F.transform("names", lambda x: F.concat(F.lit("  "), id_(x), F.lit('["'), clean(x), F.lit('"]')))
     links = F.transform("e", lambda x: F.concat(F.lit("  "), id_(x["source"]), F.lit(" -->|"), x["kind"], F.lit("| "), id_(x["target"])))
     return rows.select(F.array_join(F.concat(F.array(F.lit("flowchart LR")), nodes, links), "\n").alias("diagram"))
+
+
+def page_titles(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """path and title of pages(path): the first heading of level 1, else what the path says."""
+    first = sections.where("level = 1").groupBy("path").agg(F.min_by("title", "line_start").alias("_title"))
+    return pages.select("path").join(first, "path", "left").select("path", F.coalesce("_title", title_from_path(F.col("path"))).alias("title"))
+
+
+def reusable_pages(previous: DataFrame, pages: DataFrame, affected: DataFrame) -> DataFrame:
+    """The pages(path, content_hash) that need no new analysis: previous has them with the same hash, and affected(path)
+    doesn't name them."""
+    same = pages.join(previous.select("path", "content_hash"), ["path", "content_hash"], "left_semi")
+    return same.join(affected.select("path").distinct(), "path", "left_anti")
+
+
+def select_findings(findings: DataFrame, severity: str | None = None, status: str | None = None) -> DataFrame:
+    """findings of a severity and a status, where asked for."""
+    for column, value in (("severity", severity), ("status", status)):
+        findings = findings if value is None else findings.where(F.col(column) == value)
+    return findings

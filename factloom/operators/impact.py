@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators import diff
 from factloom.plans import kept, top_per_key
 
 #: The weight of walking an edge against and along its direction, by kind.
@@ -48,11 +49,15 @@ def affected(relationships: DataFrame, roots: DataFrame, *, max_depth: int = 4,
     the steps' weights; the result has each node's best over all levels. A node's strongest path is thus found even
     where a longer path would have settled the node first.
     """
-    steps = kept(weighted_steps(relationships, max_fan_out))
+    steps = kept(weighted_steps(relationships, None))
     level = kept(roots.select("stable_key").distinct().withColumn("confidence", F.lit(1.0)))
     levels = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        reached = level.join(steps, level["stable_key"] == steps["node"]).groupBy(F.col("neighbour").alias("stable_key")).agg(F.max(F.col("confidence") * F.col("weight")).alias("confidence"))
+        # only what the level reaches is ranked
+        taken = steps.join(level.select(F.col("stable_key").alias("node"), F.col("confidence").alias("_so_far")), "node")
+        if max_fan_out is not None:
+            taken = top_per_key(taken, ["node"], [F.desc("weight"), F.col("id")], max_fan_out)
+        reached = taken.withColumn("confidence", F.col("_so_far")).groupBy(F.col("neighbour").alias("stable_key")).agg(F.max(F.col("confidence") * F.col("weight")).alias("confidence"))
         level = kept(reached.where(F.col("confidence") >= min_confidence))
         levels = levels.union(level.withColumn("depth", F.lit(depth)))
     best = levels.groupBy("stable_key").agg(F.max("confidence").alias("confidence"), F.min("depth").alias("depth"))
@@ -113,3 +118,78 @@ def risk_level(factors: DataFrame) -> DataFrame:
 
 def review_focus(factors: DataFrame, n: int = 5) -> DataFrame:
     return factors.orderBy(F.desc("weight"), "factor").limit(n)
+
+
+def changed_roots(entity_changes: DataFrame, relationship_changes: DataFrame) -> DataFrame:
+    """stable_key and change: every changed entity, and the ends of changed relationships that aren't changed themselves,
+    with the relationship's change (the least of several). Removed relationships that touch a removed entity add none."""
+    own = entity_changes.select("stable_key", "change")
+    removed = own.where("change = 'removed'").select("stable_key")
+    gone = relationship_changes.where("change = 'removed'")
+    for side in ("source_key", "target_key"):
+        gone = gone.join(removed.withColumnRenamed("stable_key", side), side, "left_anti")
+    live = relationship_changes.where("change <> 'removed'").unionByName(gone.select(relationship_changes.columns))
+    ends = live.select(F.explode(F.array("source_key", "target_key")).alias("stable_key"), "change").join(own.select("stable_key"), "stable_key", "left_anti")
+    return own.union(ends.groupBy("stable_key").agg(F.min("change").alias("change")))
+
+
+def merged_candidates(target: DataFrame, base: DataFrame) -> DataFrame:
+    """stable_key, confidence, depth, is_root and revision of two candidates' tables: base's counts only if strictly greater."""
+    side = lambda df, name, turn: df.select("stable_key", F.struct("confidence", F.lit(turn).alias("turn"), "depth", "is_root", F.lit(name).alias("revision")).alias("c"))
+    both = side(target, "target", 1).union(side(base, "base", 0)).groupBy("stable_key").agg(F.max("c").alias("c"))
+    return both.select("stable_key", "c.confidence", "c.depth", "c.is_root", "c.revision")
+
+
+def affected_by_change(roots: DataFrame, base_relationships: DataFrame, target_relationships: DataFrame, target_entities: DataFrame, base_entities: DataFrame, *, max_nodes: int | None = 200, **options) -> DataFrame:
+    """stable_key, confidence, depth, is_root, revision, change, kind and name of what roots(stable_key, change) affect.
+
+    What is there is followed along the target's relationships, what was removed along the base's; bodies come from
+    the target, else from the base. In order of confidence, then key, at most max_nodes.
+    """
+    roots = kept(roots)
+    there = roots.join(target_entities.select("stable_key"), "stable_key", "left_semi")
+    target = affected(target_relationships, there, max_nodes=None, **options).join(target_entities.select("stable_key"), "stable_key", "left_semi")
+    base = affected(base_relationships, roots.where("change = 'removed'"), max_nodes=None, **options)
+    merged = merged_candidates(target, base).join(roots.select("stable_key", "change"), "stable_key", "left")
+    body = target_entities.select("stable_key", F.lit(1).alias("turn"), "kind", "name").union(base_entities.select("stable_key", F.lit(0), "kind", "name"))
+    body = body.groupBy("stable_key").agg(F.max(F.struct("turn", "kind", "name")).alias("b")).select("stable_key", "b.kind", "b.name")
+    out = merged.join(body, "stable_key")
+    return out if max_nodes is None else out.orderBy(F.desc("confidence"), "stable_key").limit(max_nodes)
+
+
+def evidence_paths(relationships: DataFrame, roots: DataFrame, *, max_depth: int = 4, max_fan_out: int | None = 25, min_confidence: float = 0.2) -> DataFrame:
+    """stable_key, confidence, depth and path of what roots(stable_key) affect: the steps (relationship, kind, from, to,
+    weight) of its strongest path, of equally strong ones the shorter, then the one of least relationship ids."""
+    steps = kept(weighted_steps(relationships, None))
+    none = F.array().cast("array<struct<id:string,kind:string,from:string,to:string,weight:double>>")
+    level = kept(roots.select("stable_key").distinct().select("stable_key", F.lit(1.0).alias("confidence"), F.lit(0).alias("depth"), none.alias("path")))
+    levels = level
+    for depth in range(1, max_depth + 1):
+        taken = steps.join(level.select(F.col("stable_key").alias("node"), F.col("confidence").alias("_so_far"), F.col("path").alias("_path")), "node")
+        if max_fan_out is not None:
+            taken = top_per_key(taken, ["node"], [F.desc("weight"), F.col("id")], max_fan_out)
+        step = F.struct("id", "kind", F.col("node").alias("from"), F.col("neighbour").alias("to"), "weight")
+        found = taken.select(F.col("neighbour").alias("stable_key"), F.struct((-F.col("_so_far") * F.col("weight")).alias("less"), F.array_append("_path", step).alias("path")).alias("f")).where(-F.col("f.less") >= min_confidence)
+        best = found.groupBy("stable_key").agg(F.min("f").alias("f"))
+        level = kept(best.select("stable_key", (-F.col("f.less")).alias("confidence"), F.lit(depth).alias("depth"), "f.path"))
+        levels = levels.union(level)
+    one = levels.groupBy("stable_key").agg(F.min(F.struct((-F.col("confidence")).alias("less"), "depth", "path")).alias("b"))
+    return one.select("stable_key", (-F.col("b.less")).alias("confidence"), "b.depth", "b.path")
+
+
+def analyze(base_entities: DataFrame, target_entities: DataFrame, base_relationships: DataFrame, target_relationships: DataFrame, **options) -> DataFrame:
+    """section, name and value: the whole analysis of a change as one small table - what was added, modified and removed,
+    how much is affected by kind, risk factors, score and level."""
+    entities, edges = kept(diff.entity_diff(base_entities, target_entities)), kept(diff.relationship_diff(base_relationships, target_relationships))
+    roots = kept(changed_roots(entities, edges))
+    found = kept(affected_by_change(roots, base_relationships, target_relationships, target_entities, base_entities, **options))
+    body = target_entities.select("stable_key", "kind", F.to_json(F.struct("kind", "name", "attributes")).alias("text")).unionByName(base_entities.join(entities.where("change = 'removed'"), "stable_key", "left_semi").select("stable_key", "kind", F.to_json(F.struct("kind", "name", "attributes")).alias("text")))
+    changed = body.join(entities.select("stable_key"), "stable_key", "left_semi")
+    tests = found.where("kind = 'test'").count()
+    factors = kept(score_risk(changed, found, tests=tests, changed_relationships=edges.count()))
+    row = lambda section, df, name, value: df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col(value).cast("string").alias("value"))
+    out = row("entities", entities.groupBy("change").count(), "change", "count")
+    out = out.union(row("relationships", edges.groupBy("change").count(), "change", "count"))
+    out = out.union(row("affected", found.groupBy("kind").count(), "kind", "count"))
+    out = out.union(row("risk", factors, "factor", "weight"))
+    return out.union(row("level", risk_level(factors), "level", "score"))

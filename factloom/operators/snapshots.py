@@ -1,15 +1,9 @@
-"""Revisions as partitions, and the pointer that makes one active."""
+"""Revisions as partitions, and the rows that make one active."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+from pyspark.sql import functions as F
 
 
 def write_revision(facts: DataFrame, root: str, repository: str, revision: str) -> str:
@@ -24,29 +18,23 @@ def read_revision(spark: SparkSession, root: str, repository: str, revision: str
     return spark.read.parquet(f"{root}/repository_id={repository}/revision_id={revision}")
 
 
+_ACTIVATIONS = "repository string, revision string, n long"
+
+
 def active_revision(spark: SparkSession, root: str, repository: str) -> str | None:
-    path, fs = _fs(spark, f"{root}/_active/{repository}.json")
-    if not fs.exists(path):
-        return None
-    stream = fs.open(path)
-    try:
-        data = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return json.loads(data)["revision"]
+    """The revision that was activated last."""
+    rows = spark.read.schema(_ACTIVATIONS).option("ignoreMissingFiles", True).parquet(f"{root}/activations*")
+    return rows.where(F.col("repository") == repository).agg(F.max_by("revision", "n")).first()[0]
 
 
 def publish(spark: SparkSession, root: str, repository: str, revision: str) -> bool:
-    """Makes a written revision active by renaming a pointer file into place; False if it was active already.
+    """Makes a written revision active by adding a row; False if it was active already.
 
-    One writer at a time is assumed. Readers see the old revision or the new one, never a mixture.
+    Spark commits the row's file at once: readers see the old revision or the new one. A single writer is assumed.
     """
+    spark.createDataFrame([], _ACTIVATIONS).write.mode("append").parquet(f"{root}/activations")
     if active_revision(spark, root, repository) == revision:
         return False
-    target, fs = _fs(spark, f"{root}/_active/{repository}.json")
-    fresh, _ = _fs(spark, f"{root}/_active/.{repository}.{revision}.tmp")
-    out = fs.create(fresh, True)
-    out.write(json.dumps({"revision": revision}).encode())
-    out.close()
-    fs.delete(target, False)
-    return bool(fs.rename(fresh, target))
+    n = spark.read.schema(_ACTIVATIONS).parquet(f"{root}/activations").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    spark.createDataFrame([(repository, revision, n + 1)], _ACTIVATIONS).coalesce(1).write.mode("append").parquet(f"{root}/activations")
+    return True

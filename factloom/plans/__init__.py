@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -20,7 +21,11 @@ def _own_folder() -> str:
 def kept(df: DataFrame) -> DataFrame:
     """df, written below spark.checkpoint.dir and read again: iterations restart from files, not from lineage."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        shared = _own_folder()
     path = f"{shared.rstrip('/')}/plans-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -75,7 +75,7 @@ def stream_fold(events: DataFrame) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         name, attempts, last, published = state.get if state.exists else (None, 0, None, False)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
+        rows = pd.concat([b[["event", "at", "event_id"]] for b in batches]).sort_values(["at", "event_id"], kind="stable")
         for event, at in zip(rows["event"], rows["at"], strict=True):
             if published:
                 break
@@ -91,3 +91,29 @@ def stream_fold(events: DataFrame) -> DataFrame:
 def stream_once(events: DataFrame, key: str = "idempotency_key", late: str = "1 hour", at: str = "at") -> DataFrame:
     """Idempotent enqueue: the first event of each key within the watermark."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def renew(leases_: DataFrame, now, owner: str, seconds: int = 60) -> DataFrame:
+    """leases_(id, lease_owner, lease_expires_at) after `owner` renews what is its own and hasn't expired; with renewed."""
+    may = F.coalesce((F.col("lease_owner") == owner) & (F.col("lease_expires_at") > now), F.lit(False))
+    until = now + F.expr(f"INTERVAL {seconds} SECONDS")
+    return leases_.select("id", "lease_owner", F.when(may, until).otherwise(F.col("lease_expires_at")).alias("lease_expires_at"), may.alias("renewed"))
+
+
+def release(leases_: DataFrame, owner: str) -> DataFrame:
+    """leases_(id, lease_owner, lease_expires_at) after `owner` gives back what is its own; with released."""
+    mine = F.coalesce(F.col("lease_owner") == owner, F.lit(False))
+    free = lambda c: F.when(~mine, F.col(c)).alias(c)
+    return leases_.select("id", free("lease_owner"), free("lease_expires_at"), mine.alias("released"))
+
+
+def settle(outbox: DataFrame, outcomes: DataFrame, now, *, most: int = 5) -> DataFrame:
+    """id, state, attempts and next_attempt_at of outbox(id, claimed_by, attempts) after outcomes(id, owner, ok): who claimed
+    a row may publish it or release it for later; after `most` attempts it is dead."""
+    both = outbox.join(outcomes.select("id", "owner", "ok"), "id", "left")
+    mine = F.coalesce(F.col("owner") == F.col("claimed_by"), F.lit(False))
+    attempts = F.col("attempts") + F.when(mine & ~F.col("ok"), 1).otherwise(0)
+    state = F.when(~mine, "claimed").when(F.col("ok"), "published").when(attempts >= most, "dead").otherwise("pending")
+    out = both.select("id", state.alias("state"), attempts.alias("attempts"))
+    wait = F.make_dt_interval(secs=backoff_seconds(F.col("attempts")).cast("decimal(18,6)"))
+    return out.withColumn("next_attempt_at", F.when(F.col("state") == "pending", now + wait))
