@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from factloom import functions as X
 from factloom import streaming
 from factloom.operators import answers as answering
-from factloom.operators import catalog, chunks, diff, documentation, impact, provenance
+from factloom.operators import catalog, chunks, diff, documentation, impact, provenance, relational
 from factloom.plans import facts, revisions
 from factloom.queries import _DIFF, QUERIES, _relationship_revisions, query, table
-from factloom.sources import extraction
+from factloom.sources import extraction, scanners
 
 # Provenance
 
@@ -396,3 +396,50 @@ def normalised_names(spark, sf_dir):
 @query("SELECT i.intent, i.max_depth, i.max_nodes FROM (VALUES ('callers', 3, 80), ('callees', 3, 80), ('endpoint_flow', 3, 80), ('configuration_usage', 3, 80), ('test_impact', 3, 80), ('documentation_impact', 3, 80), ('module_explanation', 3, 80), ('entity_lookup', 0, 80)) i(intent, max_depth, max_nodes)", False)
 def question_policies(spark, sf_dir):
     return answering.policies(spark).select("intent", "max_depth", "max_nodes")
+
+
+# Every branch of scanners and scores
+
+
+@query("""SELECT concat('n', p_partkey, '.ts') AS path, 3 AS line, 'nest' AS framework, 'GET' AS method, concat('/c', p_partkey, '/{id}') AS route FROM part
+    UNION ALL SELECT concat('e', p_partkey, '.ts'), 2, 'express', 'GET', concat('/api/u', p_partkey, '/{id}') FROM part
+    UNION ALL SELECT concat('v', p_partkey, '.java'), 1, 'vertx', 'POST', concat('/n', p_partkey) FROM part
+    UNION ALL SELECT concat('o', p_partkey, '.kt'), 3, 'ktor', 'GET', concat('/api/k', p_partkey, '/{id}') FROM part""", False)
+def other_framework_endpoints(spark, sf_dir):
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    file = lambda letter, end, language, *text: part.select(F.concat(F.lit(letter), k, F.lit(end)).alias("path"), F.lit(language).alias("language"), F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]).alias("content"))
+    artifacts = file("n", ".ts", "typescript", '@Controller("c', k, '")\nexport class C {\n@Get(":id")\nfind() {}\n}')
+    artifacts = artifacts.union(file("e", ".ts", "typescript", 'app.use("/api", router);\nrouter.get("/u', k, '/:id", show);'))
+    artifacts = artifacts.union(file("v", ".java", "java", 'router.post("/n', k, '").handler(a);'))
+    artifacts = artifacts.union(file("o", ".kt", "kotlin", 'routing {\n  route("/api") {\n    get("/k', k, '/{id}") {\n    }\n  }\n}'))
+    return scanners.endpoints(artifacts)
+
+
+@query("""WITH t AS (SELECT concat('t', p_partkey) AS stable_key, p_partkey % 5 AS m, CASE WHEN p_partkey % 2 = 0 THEN CAST(0.97 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END AS c FROM part WHERE NOT (p_partkey % 5 = 3 AND p_partkey % 2 = 0)),
+    s AS (SELECT stable_key, CASE m WHEN 0 THEN least(CAST(0.98 AS DOUBLE), c) WHEN 1 THEN least(CAST(0.9 AS DOUBLE), c) WHEN 2 THEN least(CAST(0.78 AS DOUBLE), c) WHEN 3 THEN CAST(0.55 AS DOUBLE) ELSE c END AS score FROM t)
+    SELECT *, CASE WHEN score >= 0.95 THEN 'confirmed' WHEN score >= 0.5 THEN 'inferred' ELSE 'tentative' END AS level FROM s""", False)
+def test_scores(spark, sf_dir):
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    kinds = [F.array(*map(F.lit, x)) for x in (["TESTS"], ["TESTS", "HANDLES"], ["CALLS", "DOCUMENTS"], ["DEPENDS_ON"], ["DEPENDS_ON"])]
+    name = F.concat(F.lit("part"), k, F.lit("q"))
+    tests = part.select(F.concat(F.lit("t"), k).alias("stable_key"), name.alias("test_name"), F.get(F.array(*kinds), (k % 5).cast("int")).alias("path_kinds"))
+    found = part.where(k % 5 != 3).select(F.concat(F.lit("t"), k).alias("stable_key"), F.when(k % 2 == 0, 0.97).otherwise(0.4).alias("confidence"))
+    return impact.recommend_tests(tests, found, part.where((k % 5 == 3) & (k % 2 == 1)).select(name.alias("name")))
+
+
+@query("""SELECT * FROM (VALUES (1, 'authentication-or-authorization', 25), (2, 'public-api', 20), (3, 'configuration', 12), (4, 'persistence', 15), (5, 'downstream-impact', 15), (6, 'missing-tests', 15), (7, 'documentation-gap', 5), (8, 'unresolved-relationships', 4), (9, 'change-size', 15)) f(ordinal, factor, weight)""", False)
+def all_risk_factors(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    changed = nation.select(F.when(F.col("n_nationkey") % 2 == 0, "endpoint").otherwise("configuration_key").alias("kind"), F.concat("n_name", F.lit(" token sql")).alias("text"))
+    found = table(spark, sf_dir, "orders").select(F.lit(False).alias("is_root"), F.lit(0.5).alias("confidence"))
+    return impact.score_risk(changed, found, changed_files=3, documentation_gaps=1, unresolved=2, changed_relationships=2)
+
+
+@query("SELECT stable_key, artifact, first_seen, revision FROM (SELECT concat('e', o_orderkey) AS stable_key, 'new' AS artifact, CASE WHEN o_orderkey % 8 = 0 THEN 'r2' ELSE 'r1' END AS first_seen, 'r2' AS revision FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT concat('e', o_orderkey), 'old', 'r1', 'r2' FROM orders WHERE o_orderkey % 4 <> 0) t", False)
+def closed_activation(spark, sf_dir):
+    """An activation whose relationships all have their ends."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("e"), "o_orderkey").alias("stable_key"), F.col("o_orderkey").alias("r"))
+    previous = orders.where("r % 8 <> 0").select("stable_key", F.lit("old").alias("artifact"), F.lit("r1").alias("first_seen"))
+    staged = orders.where("r % 4 = 0").select("stable_key", F.lit("new").alias("artifact"))
+    edges = staged.select(F.col("stable_key").alias("source_key")).withColumn("target_key", F.col("source_key")).union(previous.select("stable_key", "stable_key"))
+    return relational.activate(previous, staged, spark.createDataFrame([("gone",)], "artifact string"), edges, "r2")
