@@ -73,17 +73,23 @@ def traverse(
     return Traversal(nodes, edges, truncated, missing)
 
 
-def reachable(relationships: DataFrame, start: DataFrame, max_depth: int = 32) -> DataFrame:
-    """stable_key and least depth of everything that outgoing edges reach from start(stable_key).
+def reachable(relationships: DataFrame, start: DataFrame, max_depth: int | None = None, merge_every: int = 8) -> DataFrame:
+    """stable_key and least depth of everything that outgoing edges reach from start(stable_key), at most max_depth
+    steps away if that is given; else the levels go on until one reaches nothing new, which also ends cycles.
 
-    Frontiers and what was visited are tables: nothing is collected, whatever the graph's size.
+    Frontiers and what was visited are tables: nothing is collected, whatever the graph's size. Every merge_every levels
+    the visited ones become one table, so a deep graph doesn't read a table for each level.
     """
     edges = kept(relationships.select("source_key", "target_key").distinct())
     visited = frontier = kept(start.select("stable_key", F.lit(0).alias("depth")).distinct())
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = frontier.join(edges, frontier["stable_key"] == edges["source_key"]).select(F.col("target_key").alias("stable_key")).distinct()
         frontier = kept(step.join(visited, "stable_key", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)
+        if depth % merge_every == 0:
+            visited = kept(visited)
     return visited

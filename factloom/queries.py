@@ -459,10 +459,10 @@ def resolve_heritage(spark, sf_dir):
 
 
 @query(f"""{_affected_sql(4, 25, 0.2)}, named AS (SELECT DISTINCT CASE WHEN e.kind = 'endpoint' THEN 'apis' ELSE 'modules' END AS "group", e.name FROM best b JOIN entities e USING (stable_key) WHERE e.kind IN ('endpoint', 'module', 'package'))
-    SELECT "group", string_agg(name, '|' ORDER BY name) AS names FROM named GROUP BY "group\"""")
+    SELECT "group", name FROM named""")
 def change_summary(spark, sf_dir):
     affected, _ = _affected(spark, sf_dir, max_nodes=None)
-    return summary.change_summary(affected, facts(spark, sf_dir)[0]).select("group", F.array_join("names", "|").alias("names"))
+    return summary.change_summary(affected, facts(spark, sf_dir)[0])
 
 
 @query("SELECT source_key, concat('# ', min(h.name), chr(10), chr(10), string_agg(concat('- `', e.name, '`'), chr(10) ORDER BY e.name)) AS document FROM relationships r JOIN entities e ON r.target_key = e.stable_key JOIN entities h ON r.source_key = h.stable_key WHERE r.kind = 'HANDLES' GROUP BY source_key")
@@ -470,6 +470,42 @@ def api_documents(spark, sf_dir):
     return summary.api_document(*facts(spark, sf_dir))
 
 
+
+def _documented(spark, sf_dir) -> DataFrame:
+    """Orders as endpoints, suppliers as configuration, parts as build scripts; some attributes missing or no texts."""
+    o, s_, p = (table(spark, sf_dir, t) for t in ("orders", "supplier", "part"))
+    none, sure = F.lit(None).cast("string"), F.lit(None).cast("double")
+    method = F.when(F.col("o_orderkey") % 3 == 0, '{"httpMethod": 7}').when(F.col("o_orderkey") % 3 == 1, '{"httpMethod": "GET", "responseType": "Order"}').otherwise("no JSON")
+    value = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('{"defaultValue": "'), "s_nationkey", F.lit('"}')))
+    endpoints = o.select(F.lit("endpoint").alias("kind"), F.concat(F.lit("/orders/"), "o_orderkey").alias("name"), none.alias("qualified_name"), F.lit(0.75).alias("confidence"), method.alias("attributes"))
+    keys = s_.select(F.lit("configuration_key"), F.concat(F.lit("key."), "s_suppkey"), none, sure, value)
+    scripts = p.select(F.lit("build_script"), F.concat(F.lit("script"), "p_partkey"), F.concat(F.lit("part.script"), "p_partkey"), sure, F.concat(F.lit('{"commands": ["make '), "p_size", F.lit('", "test"]}')))
+    return endpoints.union(keys).union(scripts)
+
+
+_ROUTES = "SELECT concat('- `', CASE WHEN o_orderkey % 3 = 1 THEN 'GET' ELSE 'UNKNOWN' END, ' /orders/', o_orderkey, '`', CASE WHEN o_orderkey % 3 = 1 THEN ' \u2014 response: Order' ELSE '' END) AS line FROM orders"
+
+
+@query(f"""SELECT 0 AS ordinal, 'Entry points' AS section, line FROM ({_ROUTES}) r
+    UNION ALL SELECT 1, 'Local commands', concat('- `', c, '`') FROM (SELECT DISTINCT concat('make ', p_size) AS c FROM part UNION SELECT 'test' FROM part) t
+    UNION ALL SELECT 2, 'Key entities', concat('- **endpoint** `/orders/', o_orderkey, '` \u2014 confidence 75%') FROM orders
+    UNION ALL SELECT 2, 'Key entities', concat('- **configuration_key** `key.', s_suppkey, '` \u2014 confidence 100%') FROM supplier
+    UNION ALL SELECT 2, 'Key entities', concat('- **build_script** `part.script', p_partkey, '` \u2014 confidence 100%') FROM part""", False)
+def onboarding_document(spark, sf_dir):
+    return summary.document_lines(_documented(spark, sf_dir), "onboarding").select("ordinal", "section", "line")
+
+
+@query("SELECT 0 AS ordinal, 'Configuration' AS section, concat('- `key.', s_suppkey, '`', CASE WHEN s_suppkey % 2 = 0 THEN concat(' = `', s_nationkey, '`') ELSE '' END) AS line FROM supplier", False)
+def configuration_document(spark, sf_dir):
+    return summary.document_lines(_documented(spark, sf_dir), "configuration").select("ordinal", "section", "line")
+
+
+@query("""SELECT concat('This page is grounded in revision `r2` and ', (SELECT count(*) FROM orders) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part), ' selected canonical facts (',
+    (SELECT count(*) FROM part), ' build_script, ', (SELECT count(*) FROM supplier), ' configuration_key, ', (SELECT count(*) FROM orders), ' endpoint).') AS overview""", False)
+def document_overview(spark, sf_dir):
+    return summary.document_overview(_documented(spark, sf_dir), "r2")
+
+
 @query("""SELECT o_orderkey AS question, concat('E', row_number() OVER (PARTITION BY o_orderkey ORDER BY turn, a, l)) AS evidence_id, kind, reference FROM (
     SELECT l_orderkey AS o_orderkey, 0 AS turn, concat('p', l_partkey) AS a, l_linenumber AS l, 'structural' AS kind, concat('p', l_partkey, ':', l_linenumber) AS reference FROM lineitem
     UNION ALL SELECT o_orderkey, 1, concat('c', o_custkey), 0, 'semantic', concat('c', o_custkey) FROM orders) t""", False)
