@@ -22,17 +22,17 @@ def section(title: str, rows: DataFrame, line: str, most: int = 1000) -> DataFra
     return first.agg(F.concat(F.lit(f"## {title}\n\n"), F.when(F.count("*") > 0, body).otherwise("_None._")).alias("markdown"))
 
 
-def api_document(entities: DataFrame, relationships: DataFrame, most: int = 1000) -> DataFrame:
-    """source_key, document: for each handler the first `most` of the endpoints that it handles, in order, and how many
-    more there are, if any. A handler of many endpoints is cut to `most` in parts before its lines meet."""
+def api_document(entities: DataFrame, relationships: DataFrame, most: int | None = None) -> DataFrame:
+    """source_key, document: for each handler the endpoints that it handles, in order; all of them, or the first `most`
+    and how many more there are. A document is one value, so for very large handlers `most` bounds its size."""
     handled = relationships.where("kind = 'HANDLES'").join(entities.select(F.col("stable_key").alias("target_key"), F.col("name").alias("endpoint")), "target_key")
     named = handled.join(entities.select(F.col("stable_key").alias("source_key"), F.col("name").alias("handler")), "source_key")
     lines = named.groupBy("source_key", "endpoint").agg(F.min("handler").alias("handler"))
     sizes = lines.groupBy("source_key").agg(F.count("*").alias("_all"))
-    first = top_per_key(lines, ["source_key"], [F.col("endpoint")], most)
+    first = lines if most is None else top_per_key(lines, ["source_key"], [F.col("endpoint")], most)
     text = F.array_join(F.transform(F.array_sort(F.collect_list("endpoint")), lambda x: F.concat(F.lit("- `"), x, F.lit("`"))), "\n")
     written = first.groupBy("source_key").agg(F.min("handler").alias("handler"), text.alias("lines")).join(sizes, "source_key")
-    more = F.when(F.col("_all") > most, F.concat(F.lit("\n- and "), F.col("_all") - most, F.lit(" more"))).otherwise("")
+    more = F.lit("") if most is None else F.when(F.col("_all") > most, F.concat(F.lit("\n- and "), F.col("_all") - most, F.lit(" more"))).otherwise("")
     return written.select("source_key", F.concat(F.lit("# "), "handler", F.lit("\n\n"), "lines", more).alias("document"))
 
 
