@@ -51,12 +51,9 @@ def traverse(
         from_here = F.col("source_key").isin(*frontier)
         to_here = F.col("target_key").isin(*frontier)
         touched = rels.where({"outgoing": from_here, "incoming": to_here, "both": from_here | to_here}[direction])
-        ends = []
-        if direction != "incoming":
-            ends.append(touched.where(from_here).select(F.col("target_key").alias("stable_key")))
-        if direction != "outgoing":
-            ends.append(touched.where(to_here).select(F.col("source_key").alias("stable_key")))
-        reached = ends[0] if len(ends) == 1 else ends[0].union(ends[1])
+        # one scan gives the far ends on both sides
+        ends = [F.when(from_here, F.col("target_key"))] * (direction != "incoming") + [F.when(to_here, F.col("source_key"))] * (direction != "outgoing")
+        reached = touched.select(F.explode(F.array_compact(F.array(*ends))).alias("stable_key"))
         room = max_nodes - len(depth_of)
         fresh = reached.where(~F.col("stable_key").isin(*depth_of)).distinct().join(entities.select("stable_key"), "stable_key", "left_semi")
         found = [r["stable_key"] for r in fresh.orderBy("stable_key").limit(room + 1).collect()]

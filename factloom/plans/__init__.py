@@ -61,19 +61,26 @@ TARGET_ENTITIES = """
 TABLES = ("region", "nation", "supplier", "customer", "orders", "part", "lineitem")
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str, tables: Sequence[str] = TABLES) -> DataFrame:
-    """sql over the driver tables, as views of a session of its own."""
+def with_views(spark: SparkSession, sf_dir: str, tables: Sequence[str] = TABLES) -> SparkSession:
+    """A session of its own in which the driver tables are views."""
     session = spark.newSession()
     for t in tables:
         session.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return session.sql(sql)
+    return session
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, tables: Sequence[str] = TABLES) -> DataFrame:
+    """sql over the driver tables."""
+    return with_views(spark, sf_dir, tables).sql(sql)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(entities, relationships) of the driver tables."""
-    return run_sql(spark, sf_dir, ENTITIES), run_sql(spark, sf_dir, RELATIONSHIPS)
+    session = with_views(spark, sf_dir)
+    return session.sql(ENTITIES), session.sql(RELATIONSHIPS)
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The entities of the base and of the target revision."""
-    return tuple(run_sql(spark, sf_dir, f"WITH entities AS ({ENTITIES}) {text}") for text in (BASE_ENTITIES, TARGET_ENTITIES))
+    session = with_views(spark, sf_dir)
+    return tuple(session.sql(f"WITH entities AS ({ENTITIES}) {text}") for text in (BASE_ENTITIES, TARGET_ENTITIES))
