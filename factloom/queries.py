@@ -221,7 +221,26 @@ def route_question(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", X.question_intent(F.col("text")).alias("intent"))
 
 
-@query()
+_TERMS = (
+    (r"""[`"']([^`"']{2,100})[`"']""", 1),
+    (r"\b([A-Z][A-Za-z0-9_$]*(?:\.[A-Za-z_$][\w$]*)?)\b", 1),
+    (r"(?i)\b(?:changing|configured|explain|uses?|calls?|for)[ \t\n\x0b\f\r]+(?:the[ \t\n\x0b\f\r]+)?([\w.$_/-]+)", 1),
+)
+_METHOD = r"(?i)\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)[ \t\n\x0b\f\r]+(/[^ \t\n\x0b\f\r?]+)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TERM = ", ".join(f"nullif(regexp_extract(q, {_quoted(p)}, {g}), '')" for p, g in _TERMS)
+
+
+@query(
+    f"""SELECT conv_id, turn, CASE WHEN regexp_matches(q, {_quoted(_METHOD)}) THEN upper(regexp_extract(q, {_quoted(_METHOD)}, 1)) || ' ' || regexp_extract(q, {_quoted(_METHOD)}, 2)
+    ELSE coalesce({_TERM}, q) END AS term FROM (SELECT conv_id, turn, trim(text) AS q FROM conversations WHERE role = 'user') t""",
+    False,
+)
 def search_terms(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", X.search_term(F.col("text")).alias("term"))
 
@@ -245,7 +264,23 @@ def file_policy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.file_policy(path, F.col("n_chars"), max_bytes=8000).alias("kind"))
 
 
-@query()
+def _redact_sql() -> str:
+    """What each pattern leaves of the text, and how often it matched; quotes are spelt out where a match refers back."""
+    space, value = r"[ \t\n\x0b\f\r]", r"""[^ \t\n\x0b\f\r,"'\]}]+"""
+    steps = (
+        (r"-----BEGIN [^-]*PRIVATE KEY-----[\s\S]*?-----END [^-]*PRIVATE KEY-----", "[REDACTED PRIVATE KEY]"),
+        (rf"""(?i)\b(api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|password|private[_-]?key|secret)\b({space}*[:=]{space}*)(?:"{value}"|'{value}'|{value})""", r"\1\2[REDACTED]"),
+        (rf"(?i)\b(Bearer{space}+)[A-Za-z0-9._~+/=-]{{8,}}", r"\1[REDACTED]"),
+        (r"(?i)(\b[a-z][a-z0-9+.-]*://[^ \t\n\x0b\f\r:/]+:)([^@ \t\n\x0b\f\r]+)(@)", r"\1[REDACTED]\3"),
+    )
+    parts = ["t0 AS (SELECT doc_id, replace(coalesce(text, ''), 'token =', 'auth_token =') AS t, 0 AS n FROM documents)"]
+    for i, (pattern, instead) in enumerate(steps):
+        p = _quoted(pattern)
+        parts.append(f"t{i + 1} AS (SELECT doc_id, regexp_replace(t, {p}, '{instead}', 'g') AS t, n + len(regexp_extract_all(t, {p})) AS n FROM t{i})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, n AS count, sha256(t) AS content_hash FROM t{len(steps)}"
+
+
+@query(_redact_sql(), False)
 def redact_secrets(spark, sf_dir):
     r = X.redact_secrets(F.replace("text", F.lit("token ="), F.lit("auth_token =")))
     return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.count", F.sha2("r.content", 256).alias("content_hash"))
@@ -362,12 +397,17 @@ def lease_state(spark, sf_dir):
     return streaming.leases(held, now, "me").select("id", "lease_owner", "acquired")
 
 
-@query()
+@query(
+    f"""WITH j AS (SELECT l_orderkey AS job, coalesce(list(DISTINCT l_linenumber) FILTER (WHERE l_partkey % 50 <> 0), []) AS done, arg_max(CASE WHEN l_partkey % 50 = 0 THEN 'failed' ELSE 'done' END, l_linenumber::BIGINT * 1000000000 + l_partkey) AS last FROM lineitem GROUP BY 1),
+    c AS (SELECT job, last, least(7, list_min(list_filter([1, 2, 3, 4, 5, 6, 7, 8], lambda x: NOT list_contains(done, x))) - 1) AS completed FROM j)
+    SELECT job, ([{", ".join(f"'{x}'" for x in streaming.STAGES)}])[least(completed, 6) + 1] AS stage, CASE WHEN completed = 7 THEN 'completed' WHEN last = 'failed' THEN 'failed' ELSE 'running' END AS state, completed FROM c""",
+    False,
+)
 def job_state(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     stage = F.get(F.array(*map(F.lit, streaming.STAGES)), (F.col("l_linenumber") - 1).cast("int"))
     outcome = F.when(F.col("l_partkey") % 50 == 0, "failed").otherwise("done")
-    return streaming.job_state(lines.select(F.col("l_orderkey").alias("job"), stage.alias("stage"), outcome.alias("outcome"), F.col("l_linenumber").alias("at")))
+    return streaming.job_state(lines.select(F.col("l_orderkey").alias("job"), stage.alias("stage"), outcome.alias("outcome"), F.struct("l_linenumber", "l_partkey").alias("at")))
 
 
 @query("SELECT c_custkey AS repository, 'graph' AS projection, c_custkey % 2 = 0 AS fresh FROM customer", False)
@@ -419,7 +459,10 @@ def documentation_health(spark, sf_dir):
     return documentation.health(findings, documentation.detect_gaps(facts(spark, sf_dir)[0], claims), 0.75)
 
 
-@query()
+@query(""", e AS (SELECT DISTINCT source_key AS s, kind AS k, target_key AS t FROM relationships ORDER BY ALL LIMIT 30),
+    names AS (SELECT name, row_number() OVER (ORDER BY name) AS i FROM (SELECT s AS name FROM e UNION SELECT t FROM e) u)
+    SELECT concat('flowchart LR', chr(10), (SELECT string_agg(concat('  E', i, '["', name, '"]'), chr(10) ORDER BY i) FROM names), chr(10),
+        (SELECT string_agg(concat('  E', a.i, ' -->|', k, '| E', b.i), chr(10) ORDER BY s, k, t) FROM e JOIN names a ON a.name = s JOIN names b ON b.name = t)) AS diagram""")
 def mermaid_diagram(spark, sf_dir):
     r = facts(spark, sf_dir)[1]
     return documentation.mermaid(r.select("kind", F.col("source_key").alias("source"), F.col("target_key").alias("target")))
