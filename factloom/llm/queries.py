@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from factloom.llm import bpe, language, mixing, near_duplicates, passages, pii, quality_rules, secrets, topk, toxicity
+from factloom.llm import bpe, codes, infill, language, mixing, near_duplicates, passages, pii, quality_rules, secrets, topk, toxicity
 from factloom.llm.common import fold, table
 
 
@@ -64,6 +64,16 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transform(table(spark, sf_dir, "documents"), "char")
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_topk": op2_exact_topk,
@@ -75,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _SHINGLED = """
@@ -102,7 +114,59 @@ _SHINGLED = """
         SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
         FROM s JOIN least USING (doc_id)"""
 
+#: op11: each round holds every part of every vector against every entry of its codebook.
+_ROUND = """, near{i} AS (
+            SELECT x.row, x.p, arg_min(e.j, list_sum(list_transform(range(1, len(x.v) + 1), lambda t: (x.v[t] - e.v[t]) * (x.v[t] - e.v[t]))) * 64 + e.j) AS j
+            FROM x JOIN book{i} e USING (p) GROUP BY x.row, x.p
+        )"""
+_MEAN = """, sums{i} AS (
+            SELECT p, j, t, CAST(floor(sum(v[t]) / count(*)) AS BIGINT) AS c
+            FROM near{i} JOIN x USING (row, p), generate_series(1, 4) g(t) GROUP BY p, j, t
+        ), book{n} AS (
+            SELECT b.p, b.j, CASE WHEN count(s.c) = 0 THEN any_value(b.v) ELSE list(s.c ORDER BY s.t) END AS v
+            FROM book{i} b LEFT JOIN sums{i} s ON b.p = s.p AND b.j = s.j GROUP BY b.p, b.j
+        )"""
+_CODES = f"""
+        WITH k AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), x AS (
+            SELECT row, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS v FROM k, range(16) r(p)
+        ), book0 AS (
+            SELECT p, row - 1 AS j, v FROM x WHERE row <= 64
+        ){_ROUND.format(i=0)}{_MEAN.format(i=0, n=1)}{_ROUND.format(i=1)}{_MEAN.format(i=1, n=2)}{_ROUND.format(i=2)}, done AS (
+            SELECT n.row, string_agg(printf('%02x', n.j), '' ORDER BY n.p) AS code,
+                   CAST(sum(list_sum(list_transform(range(1, len(x.v) + 1), lambda t: (x.v[t] - e.v[t]) * (x.v[t] - e.v[t])))) AS BIGINT) AS error
+            FROM near2 n JOIN x USING (row, p) JOIN book2 e ON e.p = n.p AND e.j = n.j GROUP BY n.row
+        ), digest AS (
+            SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM book2
+        )
+        SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM done JOIN k USING (row), digest"""
+
+_INFILL = """
+        WITH h AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+        ), d AS (
+            SELECT doc_id, t, length(t) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM h
+        ), c AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d
+        ), o AS (
+            SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM o"""
+
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": _CODES,
+    "op13_fill_in_middle": _INFILL,
     "op9_near_duplicates": _SHINGLED,
     "op2_exact_topk": """
         WITH v AS (
