@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from factloom.llm import bpe, codes, infill, language, mixing, near_duplicates, passages, pii, quality_rules, secrets, topk, toxicity
+from factloom.llm import bpe, codes, infill, language, mixing, near_duplicates, neighbours, passages, pii, quality_rules, secrets, topk, toxicity
 from factloom.llm.common import fold, table
 
 
@@ -68,6 +68,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = infill.transform(table(spark, sf_dir, "documents"), "char")
     restored = infill.restore(F.col("output"), F.col("form"))
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_passages": op10_repeated_passages,
     "op11_vector_codes": op11_vector_codes,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
