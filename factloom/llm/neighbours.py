@@ -37,6 +37,8 @@ DEGREE, RELAXED = 32, 1.2
 BUILD_BEAM, BEAM, EXPAND = 64, 96, 4
 #: Queries that are searched for at once, and marks (queries x nodes) that they may take.
 TOGETHER, MARKS = 512, 1 << 26
+#: Nodes of the largest norms where searches begin, besides the one nearest to the mean.
+STARTS = 63
 
 
 def beam_search(graph: np.ndarray, vectors: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,8 @@ def beam_search(graph: np.ndarray, vectors: np.ndarray, starts: np.ndarray, quer
 
 def robust_prune(vectors: np.ndarray, at: np.ndarray, near: np.ndarray, degree: int = DEGREE, relaxed: float = RELAXED) -> np.ndarray:
     """At most `degree` diverse neighbours of each node of `at` among its row of near (-1: none, no row names a node
-    twice): the nearest is kept, and what it is closer to than at / relaxed goes; and so on."""
+    twice): the nearest is kept, and what it is closer to than at / relaxed goes; and so on. Edges still free after
+    that take the nearest of those that went: next to vectors of very uneven norms few are diverse."""
     m = len(at)
     out = np.full((m, degree), -1, np.int64)
     to = np.where(near >= 0, 1 - np.einsum("ijk,ik->ij", vectors[near], vectors[at]), np.inf)
@@ -98,6 +101,14 @@ def robust_prune(vectors: np.ndarray, at: np.ndarray, near: np.ndarray, degree:
         out[has, k] = near[rows, pick][has]
         left &= ~(has[:, None] & (relaxed**2 * among[rows, pick] <= to))
         left[rows, pick] = False
+        near[rows[has], pick[has]], to[rows[has], pick[has]] = -1, np.inf
+    free = (out < 0).sum(1)
+    rest = np.argsort(to, 1, kind="stable")[:, :degree]
+    rest = np.where(np.isfinite(np.take_along_axis(to, rest, 1)), np.take_along_axis(near, rest, 1), -1)
+    row, place = np.nonzero(out < 0)
+    at_rest = place - (degree - free)[row]
+    ok = at_rest < rest.shape[1]
+    out[row[ok], place[ok]] = rest[row[ok], at_rest[ok]]
     return out
 
 
@@ -128,8 +139,11 @@ def _add_reverse(graph: np.ndarray, vectors: np.ndarray, batch: np.ndarray) -> N
 
 
 def start_nodes(vectors: np.ndarray) -> np.ndarray:
-    """Where searches begin: the node nearest to the mean."""
-    return np.array([int(np.argmax(vectors @ vectors.mean(0)))])
+    """Where searches begin: the node nearest to the mean, and STARTS of the largest norms, which are far from all
+    others but first in many answers."""
+    mean = int(np.argmax(vectors @ vectors.mean(0)))
+    large = np.argsort(vectors[:, -1], kind="stable")[:STARTS]
+    return np.concatenate(([mean], large[large != mean]))
 
 
 def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM) -> np.ndarray:
@@ -138,13 +152,13 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM) ->
     graph = np.full((n, degree), -1, np.int64)
     start = start_nodes(vectors)
     order = np.random.default_rng(n).permutation(n)
-    order = np.concatenate((start, order[order != start[0]]))
+    order = np.concatenate((start, order[~np.isin(order, start)]))
     done = 1
     while done < n:
         batch = order[done : done + min(done, max(64, n // 50), 2048)]
         for at in range(0, len(batch), 256):
             part = batch[at : at + 256]
-            met, _ = beam_search(graph, vectors, start, vectors[part], beam)
+            met, _ = beam_search(graph, vectors, order[: min(done, len(start))], vectors[part], beam)
             graph[part] = robust_prune(vectors, part, met, degree)
         _add_reverse(graph, vectors, batch)
         done += len(batch)
