@@ -6,8 +6,8 @@ softmax scores the languages. Both tables are trained by stochastic gradient des
 labelled rows; held-back rows of that sample set the softmax's temperature and the confidence below which a
 prediction is rejected. Since the layers are linear, prediction sums rows of their product.
 
-The sample has at most `per_language` rows of every language, the first by a hash of id and text: a bounded,
-documented sample whatever the table's size and however often an id or a text recurs. Prediction looks at every character of every text.
+The sample has at most `per_language` distinct pairs of id and text of every language, the first by their hash: a
+bounded, documented sample whatever the table's size and however often rows recur; a language with a labelled row teaches. Prediction looks at every character of every text.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text if nothing could be
 learned; rows whose language or text is null teach nothing.
@@ -151,20 +151,22 @@ def _histograms(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, teaches: Column, *, per_language: int = 1000, max_languages: int = 1000, **options) -> Model:
     """A model from the rows of docs(doc_id, text, lang) that `teaches` holds for.
 
-    Of each language the per_language rows of least hash of id and text are taken; languages are a small dimension
+    Of each language the per_language pairs of least hash of id and text are taken, repeated rows once; languages are a small dimension
     (beyond max_languages this raises).
     """
     rows = docs.where(teaches & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    counts = rows.groupBy("lang").count().limit(max_languages + 1).collect()
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(11), "doc_id", "text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_key").alias("n")).limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return train([])
-    # about twice as many as needed by their hash, so that few texts are sorted; then the first, in parts at first
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (2 * per_language + 100) / r["count"])))])
-    rows = rows.withColumn("_key", F.xxhash64(F.lit(11), "doc_id", "text"))
+    # of the distinct pairs of id and text about twice as many as needed by their hash, all where a language has few,
+    # so that few texts are sorted; then the first, in parts at first
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (2 * per_language + 100) / max(1, r["n"]))))])
     some = rows.where(F.pmod(F.col("_key"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    some = some.withColumn("_order", F.pmod(F.col("_key"), F.lit(1 << 30))).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(32)))
+    some = some.dropDuplicates(["lang", "_key"])
+    some = some.withColumn("_order", F.pmod(F.col("_key"), F.lit(1 << 30))).withColumn("_part", F.pmod(F.shiftright("_key", 30), F.lit(32)))
     for keys in (["lang", "_part"], ["lang"]):
         order = Window.partitionBy(*keys).orderBy("_order", "_key")
         some = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).drop("_n")

@@ -44,8 +44,8 @@ _DIGITS = re.compile(r"[0-9]")
 #: Identifier-like tokens: a run of name characters with at least four digits or an at sign, of six or more.
 _TOKEN = re.compile(r"[A-Za-z0-9+][A-Za-z0-9@._+/=-]{5,}")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Characters of a context word that count, those nearest to the token.
-NEAR = 80
+#: Characters from which a context word stands in patterns as its digest, so that it is hashed once for all its tokens.
+LONG = 64
 ROUNDS = 3
 CONFIDENT = 0.8
 SEEDS = 5
@@ -98,7 +98,9 @@ def _hash(*parts: str) -> int:
 def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, int, list[int]]]:
     """(start, end, is a seed, instance, patterns) of base spans and of the tokens apart from them.
 
-    A text that starts or ends there has no word on that side; a token without a word before has no pattern.
+    A text that starts or ends there has no word on that side; a token without a word before has no pattern. Words count
+    whole, however long. The word that a token is a part of counts from the token before it there, and up to the one
+    after it, so what a word of many tokens costs is its length.
     """
     if not spans and not _DIGITS.search(text) and "@" not in text:
         return []
@@ -121,12 +123,33 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
                     out.append((s, e, False))
     rows = []
     word_starts, word_ends = [s for s, _ in at], [e for _, e in at]
+    token_starts, token_ends = sorted({s for s, _, _ in out}), sorted({e for _, e, _ in out})
+    names: dict[tuple[int, int], str] = {}
+
+    def name(a: int, b: int) -> str:
+        if (a, b) not in names:
+            word = text[a:b].lower()
+            names[a, b] = word if len(word) < LONG else "\x1e" + blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        return names[a, b]
+
+    def before(a: int, b: int, s: int) -> str:
+        """A word, or what of the word around s lies between the last token that ends there and s."""
+        if b <= s:
+            return name(a, b)
+        n = bisect_right(token_ends, s)
+        return name(max(a, token_ends[n - 1]) if n else a, s)
+
+    def after(a: int, b: int, e: int) -> str:
+        if a >= e:
+            return name(a, b)
+        n = bisect_left(token_starts, e)
+        return name(e, min(b, token_starts[n]) if n < len(token_starts) else b)
+
     for s, e, seed in out:
-        # a word that the token is a part of counts up to it
         n = bisect_left(word_starts, s)
-        left = [text[max(a, min(b, s) - NEAR) : min(b, s)].lower() for a, b in at[max(0, n - 2) : n]]
+        left = [before(a, b, s) for a, b in at[max(0, n - 2) : n]]
         n = bisect_right(word_ends, e)
-        right = [text[max(a, e) : min(b, max(a, e) + NEAR)].lower() for a, b in at[n : n + 1]]
+        right = [after(a, b, e) for a, b in at[n : n + 1]]
         patterns = [_hash("ll", *left)] if len(left) == 2 else []
         if left and right:
             patterns.append(_hash("lr", left[-1], right[0]))

@@ -76,3 +76,13 @@ def test_null_and_hot_ids_teach_within_the_bound(spark, odd_documents, monkeypat
     monkeypatch.setattr(L, "train", lambda rows, **_: taught.extend(r[2] for r in rows))
     L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_language=100)
     assert {x: taught.count(x) for x in ("en", "de")} == {"en": 100, "de": 100} and taught.count("fr") <= 100
+
+
+def test_a_language_of_repeated_rows_teaches(spark, monkeypatch):
+    """However often a language's few rows recur, and whatever their hashes, it is learned, and stays within the bound."""
+    taught = []
+    monkeypatch.setattr(L, "train", lambda rows, **_: taught.append([r[2] for r in rows]))
+    for doc_id in range(9000, 9006):
+        rows = [(i, f"word{i} of a text", "en") for i in range(3000)] + [(doc_id, "ein text auf deutsch", "de")] * 6000 + [(7, f"mot {i % 3}", "fr") for i in range(6000)]
+        L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_language=1000)
+        assert {x: taught[-1].count(x) for x in ("en", "de", "fr")} == {"en": 1000, "de": 1, "fr": 3}

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from factloom.llm import pii as P
@@ -84,9 +85,29 @@ def test_pattern_scores_equal_plain_rounds(spark):
 
 
 def test_context_is_whole_words():
-    text = "a" * 300 + " " + "b" * 200 + " x-12345 " + "c" * 90
-    (found,) = P.tokens(text, [])
-    assert found[4] == [P._hash("ll", "a" * 80, "b" * 80), P._hash("lr", "b" * 80, "c" * 80)]
+    found = lambda text: [x[4] for x in P.tokens(text, [])]
+    (one,) = found("a" * 300 + " " + "b" * 200 + " x-12345 " + "c" * 90)
+    assert found("A" * 300 + " " + "b" * 200 + " x-12345 " + "c" * 90) == [one]
+    # a difference anywhere in a word counts, however far from the token
+    (first,) = found("d" + "a" * 299 + " " + "b" * 200 + " x-12345 " + "c" * 90)
+    (second,) = found("a" * 300 + " d" + "b" * 199 + " x-12345 " + "c" * 90)
+    (last,) = found("a" * 300 + " " + "b" * 200 + " x-12345 " + "c" * 89 + "d")
+    assert first[0] != one[0] and first[1] == one[1]
+    assert second[0] != one[0] and second[1] != one[1]
+    assert last[0] == one[0] and last[1] != one[1]
+    assert found("on call x-12345 now")[0] == [P._hash("ll", "on", "call"), P._hash("lr", "call", "now")]
+    # parts of one word: between the tokens beside it
+    middle = found("of id=(a-12345),(b-12345) it")[1]
+    assert middle == [P._hash("ll", "of", "),("), P._hash("lr", "),(", ")")]
+
+
+def test_a_word_of_many_tokens_takes_linear_time():
+    began = time.time()
+    assert len(P.tokens("w " + "x" * 100_000 + " " + ",(".join(f"a-{i:06d}" for i in range(40_000)) + " " + "y" * 100_000 + " end", [])) == 40_000
+    assert time.time() - began < 10
+
+
+def test_redaction_of_overlapping_spans():
     assert P.clean("0123456789", [(1, 3, 0), (2, 6, 1), (7, 8, 4)]) == "0<EMAIL>6<CONTEXT>89"
 
 
