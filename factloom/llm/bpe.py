@@ -16,12 +16,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from factloom.llm.common import row_order
 
 #: Pieces that a worker keeps; it starts anew beyond.
 CACHE = 300_000
@@ -223,8 +226,20 @@ def _blocks(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
         yield block
 
 
-def tokenise(docs: DataFrame, rank_file: str, pattern: str, *, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of docs(doc_id, text), with ids if asked for.
+def tokenise_in_order(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """tokenise(), with position, the number of each row in docs' own order from 0 on, and sorted by it."""
+    ordered, (file, row) = row_order(docs.select("doc_id", "text"))
+    out = tokenise(ordered, rank_file, pattern, carried=(file, row))
+    # a row a file: where its rows begin
+    files = ordered.groupBy(file).agg(F.max(row).alias("_last"))
+    before = F.sum(F.col("_last") + 1).over(Window.orderBy(file)) - F.col("_last") - 1
+    out = out.join(files.select(F.col(file), before.alias("_before")), file)
+    return out.withColumn("position", F.col("_before") + F.col(row)).drop(file, row, "_before").orderBy("position")
+
+
+def tokenise(docs: DataFrame, rank_file: str, pattern: str, *, keep_ids: bool = False, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of docs(doc_id, text), with ids if asked for, and
+    the carried columns.
 
     The rank file is read by the driver and sent once to each executor: a vocabulary's size doesn't grow with data.
     """
@@ -233,6 +248,7 @@ def tokenise(docs: DataFrame, rank_file: str, pattern: str, *, keep_ids: bool =
         lines = spark.sparkContext.broadcast(f.read())
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(lines.value, pattern)
@@ -245,6 +261,6 @@ def tokenise(docs: DataFrame, rank_file: str, pattern: str, *, keep_ids: bool =
                     out.append((len(ids), digest, hashlib.sha256(encoder.decode(ids)).hexdigest(), *([ids] if keep_ids else [])))
             columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())], strict=False)]
             if columns:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else []), *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, schema)

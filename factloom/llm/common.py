@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,22 @@ def _shared_folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
+def row_order(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with columns that tell where each row stands in the table, and their names, in order of weight.
+
+    Spark deals a table's files to tasks by size, so rows of a sorted table come in another order when it is read: the
+    file's name and the row's place in it still tell. For what is read from no file, the partition and place in it do.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        path = meta["file_path"]  # a part's number has five digits or more: shorter names come first
+        out = docs.withColumns({"_order_file": F.concat(F.lpad(F.length(path).cast("string"), 6, "0"), path), "_order_row": meta["row_index"]})
+        out.schema  # noqa: B018  raises where there are no files
+        return out, ["_order_file", "_order_row"]
+    except (AnalysisException, TypeError):
+        return docs.withColumns({"_order_file": F.lit(""), "_order_row": F.monotonically_increasing_id()}), ["_order_file", "_order_row"]
+
+
 class Scratch:
     """Tables written below spark.checkpoint.dir, the folder that all executors share.
 

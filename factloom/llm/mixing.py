@@ -8,10 +8,12 @@ position.
 Targets: sources in code point order (null last) share `budget` times all sizes by weight; none gets more than
 `ceiling` times its size, and what is cut is shared again among the others by weight.
 
-A source's documents are in the order of a hash of their id. A first pass over them and, where the target asks
-for more, a second one take words until the target is met, so each source's taken words are its target to the
-word and no document gives more than `ceiling` (2) times its size. The order falls into SLICES hash ranges a
-source: running sums are over slices first and inside a slice then, so no source is ever in one task.
+A source's documents are in the order of a hash of their content. A first pass over them and, where the target asks
+for more, another one for each further multiple of the size up to `ceiling` take words until the target is met, so each
+source's taken words are its target to the word and no document gives more than `ceiling` times its size, rounded up
+to a whole number (2 by default). The order falls into SLICES hash ranges a source: running sums are over slices first
+and inside a slice then, so no source is ever in one task. Equal rows are numbered, within the tasks that wrote them
+first, and the number is part of the hash: a row that makes up a third of the table is spread like any others.
 
 Defined results: a null text has size 0, takes 0; a source without words has target 0; null is a source like
 any other; repeated rows count each; an empty table gives no rows.
@@ -19,11 +21,14 @@ any other; repeated rows count each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from factloom.llm.common import WORD, Scratch, text_of
 
@@ -52,7 +57,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], budget: float = 1.5,
                 out[i] = weights[i] * unit
             break
         for i in full:
-            out[i] = ceiling * sizes[i]
+            out[i] = float(ceiling * sizes[i])
         free -= full
         left -= sum(out[i] for i in full)
     return out
@@ -77,16 +82,19 @@ def mix(
     schedule: Callable[[int], Schedule] = default_schedule,
     max_sources: int = 100_000,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position and second_position, for every row of docs(doc_id, text,
-    source). position is that of the first pass, second_position that of the second, null if it takes nothing.
+    """doc_id, source, size, source_size, target, taken, position, second_position and positions, for every row of docs(doc_id,
+    text, source). position is that of the first pass, second_position that of the second, null if it takes nothing;
+    positions has one for each pass that `ceiling` allows.
 
     Sources are a small dimension that weights are given for: beyond max_sources this raises, it drops none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    key = F.xxhash64("doc_id", "_size")
-    rows = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("_size"))
-    rows = scratch.keep(rows.select("*", key.alias("_order"), F.pmod(F.shiftright(key, 20), F.lit(SLICES)).cast("int").alias("_slice")))
+    passes = max(1, math.ceil(ceiling))
+    rows = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("_size"), _hash_of(docs).alias("_key"), F.spark_partition_id().alias("_part"))
+    rows = _numbered(scratch.keep(rows), scratch)
+    key = F.xxhash64("_key", "_n")
+    rows = rows.select("doc_id", "source", "_size", key.alias("_order"), F.pmod(F.shiftright(key, 20), F.lit(SLICES)).cast("int").alias("_slice"))
     slices = rows.groupBy("source", "_slice").agg(F.sum("_size").alias("_sum"))
     totals = slices.groupBy("source").agg(F.sum("_sum").alias("size")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
@@ -103,16 +111,45 @@ def mix(
     before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     slices = slices.select(named.alias("_named"), "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
     slices = slices.join(F.broadcast(plan.select(named.alias("_named"), "source_size", "target", "_goal", "_at")), "_named")
-    order = Window.partitionBy("_named", "_slice").orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_named", "_slice").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_named", named).withColumn("_inside", F.coalesce(F.sum("_size").over(order), F.lit(0)))
     rows = rows.join(slices, ["_named", "_slice"])
     start = F.col("_before") + F.col("_inside")
-    pass_ = lambda at: F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_goal") - at))
-    taken = F.when(F.col("source_size") > 0, pass_(start) + pass_(F.col("source_size") + start)).otherwise(0)
-    again = F.col("source_size") + start
+    starts = [start + F.col("source_size") * i for i in range(passes)]
+    takes = [F.when(F.col("source_size") > 0, F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_goal") - at))).otherwise(0) for at in starts]
     share = lambda at: F.least(F.lit(1.0), F.coalesce(at / F.nullif(F.col("_goal"), F.lit(0)), F.lit(1.0)))
-    second = F.when((F.col("source_size") > 0) & (pass_(again) > 0), _interpolated(F.col("_at"), share(again)))
-    return rows.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), _interpolated(F.col("_at"), share(start)).alias("position"), second.alias("second_position"))
+    at = [_interpolated(F.col("_at"), share(x)) for x in starts]
+    at[1:] = [F.when(t > 0, x) for t, x in zip(takes[1:], at[1:], strict=True)]
+    second = at[1] if passes > 1 else F.lit(None).cast("double")
+    taken = sum(takes[1:], takes[0])
+    return rows.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), at[0].alias("position"), second.alias("second_position"), F.array(*at).alias("positions"))
+
+
+def _hash_of(docs: DataFrame) -> Column:
+    """A hash of doc_id, source and text, and of which of them are null; of what of a struct can be hashed."""
+    kinds = docs.schema
+
+    def parts(column: Column, kind: DataType) -> list[Column]:
+        if isinstance(kind, StructType):
+            return [x for f in kind.fields for x in parts(column.getField(f.name), f.dataType)]
+        return [] if re.search(r"map<|variant", kind.simpleString()) else [column, column.isNull()]
+
+    return F.xxhash64(*[x for c in ("doc_id", "source", "text") for x in parts(F.col(c), kinds[c].dataType)])
+
+
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows(_key, _part, ...) with _n, the number of each among those of its key: 0 where a key is alone. Rows of a key
+    are counted for each part first; then only parts of keys that recur are numbered inside."""
+    parts = rows.groupBy("_key", "_part").agg(F.count("*").alias("_c"))
+    of_key = Window.partitionBy("_key")
+    parts = parts.select("_key", "_part", F.sum("_c").over(of_key).alias("_all"), (F.sum("_c").over(of_key.orderBy("_part")) - F.col("_c")).alias("_before"))
+    again = scratch.keep(parts.where("_all > 1").select("_key", "_part", "_before"))
+    if again.isEmpty():
+        return rows.withColumn("_n", F.lit(0).cast("long"))
+    first = rows.join(again, ["_key", "_part"], "left_anti").withColumn("_n", F.lit(0).cast("long"))
+    inside = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_size"))
+    rest = rows.join(again, ["_key", "_part"]).withColumn("_n", F.col("_before") + inside - 1).drop("_before")
+    return scratch.keep(first.unionByName(rest))
 
 
 def _interpolated(grid: Column, share: Column) -> Column:
@@ -129,12 +166,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with docs' own columns, in training order: one row for each pass that takes a document.
 
     Texts stay whole: of the document that a source's target ends in, the pass counts if the target asks for half of
-    it or more. So a source's words are within half a document of its target.
+    it or more. So a source's words are within half a document of its target. Rows that agree in all columns but maps
+    may change places.
     """
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     mixed = mix(docs.select(row.alias("doc_id"), F.col("text"), F.col("source")), **options)
     times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    mixed = mixed.where(times > 0).select("*", F.explode(F.sequence(F.lit(1), times)).alias("_pass"))
-    mixed = mixed.withColumn("_at", F.when(F.col("_pass") == 1, F.col("position")).otherwise(F.col("second_position")))
+    mixed = mixed.where(times > 0).select("*", F.posexplode(F.slice("positions", 1, times)).alias("_pass", "_at_pass"))
+    mixed = mixed.select("doc_id", F.coalesce("_at_pass", "position").alias("_at"))
     return mixed.orderBy("_at").select(*[F.col("doc_id")[c].alias(c) for c in names])

@@ -72,3 +72,34 @@ def test_both_passes_follow_the_schedule(spark):
         assert sum(x <= t for x in times) / 800 == pytest.approx(t * t, abs=0.02)
     order = [r["doc_id"] for r in M.mix_documents(docs, **rising).where("source = 'a'").collect()]
     assert len(order) == 800 and len(set(order[:400])) == 400 and order[:400] == order[400:]
+
+
+def test_map_columns_are_carried(spark, odd_documents):
+    docs = odd_documents.withColumn("m", F.create_map(F.lit("a"), F.col("n_chars"))).withColumn("s", F.struct("m", "text"))
+    out = M.mix_documents(docs)
+    assert out.columns == docs.columns
+    assert all(r["m"] == {"a": r["n_chars"]} for r in out.collect())
+    assert {r["text"] for r in out.collect()} <= {r["text"] for r in docs.collect()}
+
+
+def test_every_ceiling_is_kept(spark):
+    docs = spark.createDataFrame([(i, "one two three four five", "a" if i < 20 else "b") for i in range(120)], "doc_id long, text string, source string")
+    for ceiling, weights in ((1, (50, 1)), (2, (50, 1)), (2.5, (50, 1)), (3, (50, 1)), (4, (50, 1))):
+        rows = M.mix(docs, weights=weights, ceiling=ceiling, budget=1).where("source = 'a'").collect()
+        assert sum(r["taken"] for r in rows) == rows[0]["target"] == ceiling * 100
+        assert all(r["taken"] <= -(-ceiling // 1) * 5 and len(r["positions"]) == -(-ceiling // 1) for r in rows)
+        assert all(p is None or 0 <= p <= 1 for r in rows for p in r["positions"])
+    assert M.mix_documents(docs, weights=(50, 1), ceiling=3, budget=1).where("source = 'a'").count() == 60
+
+
+def test_rows_of_one_id_are_spread(spark):
+    """A row that recurs 20,000 times isn't one slice, nor is a null id, and reruns agree whatever the partitions."""
+    docs = spark.range(20_000).selectExpr("if(id % 2 = 0, 7, null) doc_id", "'one two three' text", "'a' source").union(spark.createDataFrame([(i, "four five", "b") for i in range(100)], "doc_id int, text string, source string"))
+    rows = M.mix(docs)
+    positions = rows.where("source = 'a' and taken > 0").select("position").distinct().count()
+    assert positions == rows.where("source = 'a' and taken > 0").count()
+    keyed = docs.select("*", M._hash_of(docs).alias("_key"), F.spark_partition_id().alias("_part"), F.lit(3).alias("_size"))
+    n = M._numbered(keyed, M.Scratch(spark, "t"))
+    assert n.groupBy("_key").agg((F.countDistinct("_n") == F.count("*")).alias("ok"), (F.max("_n") == F.count("*") - 1).alias("last")).where("not ok or not last").isEmpty()
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(rows) == plain(M.mix(docs.repartition(5)))

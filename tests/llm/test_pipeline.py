@@ -71,3 +71,15 @@ def test_stages_survive_odd_documents(spark, odd_documents, no_documents):
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert mixing.SLICES == 4096
+
+
+def test_training_order_lasts(spark):
+    """The last stage's rows are in the order that the mix has written, though a reader deals its files by size."""
+    docs = spark.createDataFrame([(i, "word " * (1 + i * 7919 % 300), "a" if i % 3 else "b") for i in range(3000)], "doc_id long, text string, source string")
+    mixed = mixing.mix_documents(docs)
+    want = [r["doc_id"] for r in mixed.collect()]
+    for kept in (Scratch(spark, "test").keep(mixed), mixed):
+        got = corpus_pipeline.tokens(spark, kept, "").collect()
+        assert [r["doc_id"] for r in got] == want
+        assert [r["position"] for r in got] == sorted(r["position"] for r in got)
+    assert [r["position"] for r in corpus_pipeline.tokens(spark, Scratch(spark, "test").keep(mixed), "").collect()] == list(range(len(want)))
