@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near duplicates, personal data, mixing, byte-level BPE.
 
 Every stage takes what its predecessor kept and returns the columns of documents; the last returns one row for each
-document that the mix trains on, as often as it does, with its token count and digests.
+document that the mix trains on, as often as it does, with its token count and digests, in training order (position).
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
-    return bpe.tokenise(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token counts and digests of what is left, and its position: the order that the mix has written it in."""
+    return bpe.tokenise_in_order(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_dedup), ("personal data", personal_data), ("mixing", mix), ("byte-level BPE", tokens)]
