@@ -269,8 +269,8 @@ def _sources(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(text("src/P"), k, text(".java")).alias("path"), text("java").alias("language"), content.alias("content"))
 
 
-@query("""SELECT 'class' AS kind, concat('P', p_partkey) AS name, concat('src/P', p_partkey, '.java') AS path, 1 AS start_line, 1 AS end_line FROM part
-    UNION ALL SELECT 'method', concat('run', p_partkey), concat('src/P', p_partkey, '.java'), 2, 5 FROM part""", False)
+@query("""SELECT 'class' AS kind, concat('P', p_partkey) AS name, concat('src/P', p_partkey, '.java') AS path, 1 AS start_line, 5 AS end_line FROM part
+    UNION ALL SELECT 'method', concat('run', p_partkey), concat('src/P', p_partkey, '.java'), 2, 4 FROM part""", False)
 def extracted_entities(spark, sf_dir):
     return extraction.extract(_sources(spark, sf_dir), "shop").entities.select("kind", "name", "path", "start_line", "end_line")
 

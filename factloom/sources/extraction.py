@@ -2,19 +2,20 @@
 
 Declarations become entities, heritage, calls and imports references of the declaration that they stand in; a
 reference that one declaration answers to becomes a relationship, any other stays unresolved with the number of its
-candidates. Owners are found by lines: a declaration reaches to the next one of its file.
+candidates. Declarations nest; a reference's owner is the closest one around its line.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import entity_stable_key
 from factloom.operators.provenance import closest_enclosing
-from factloom.sources import scanners
+from factloom.plans import kept
+from factloom.sources import scanners, structure
 
 #: How sure a relationship is that was resolved by name alone.
 BY_NAME = 0.75
@@ -22,7 +23,7 @@ BY_NAME = 0.75
 
 @dataclass
 class Extraction:
-    entities: DataFrame  # stable_key, kind, name, language, path, start_line, end_line
+    entities: DataFrame  # stable_key, kind, name, qualified_name, language, path, start_line, end_line
     relationships: DataFrame  # id, kind, source_key, target_key, confidence, resolution
     unresolved: DataFrame  # kind, path, line, target, candidates
     diagnostics: DataFrame  # path, severity, message
@@ -31,29 +32,25 @@ class Extraction:
 def extract(artifacts: DataFrame, repository: str) -> Extraction:
     """Facts of artifacts(path, language, content)."""
     rows = scanners.lines(artifacts)
-    found = scanners.declarations(rows)
-    order = Window.partitionBy("path").orderBy("line", "kind", "name")
-    last = rows.groupBy("path").agg(F.max("line").alias("last"))
-    # a file's declarations, as many as it has lines
-    found = found.withColumn("next", F.lead("line").over(order)).join(last, "path")
-    end = F.greatest(F.col("line"), F.coalesce(F.col("next") - 1, F.col("last")))
-    place = F.concat_ws("#", "path", "kind", "name", F.col("line").cast("string"))
-    entities = found.select(entity_stable_key(F.lit(repository), F.col("kind"), F.col("language"), place).alias("stable_key"), "kind", "name", "language", "path", F.col("line").alias("start_line"), end.alias("end_line"))
+    found = structure.read(artifacts)[1]
+    place = F.concat_ws("#", "path", "kind", "name", F.col("start_line").cast("string"))
+    entities = found.select(entity_stable_key(F.lit(repository), F.col("kind"), F.col("language"), place).alias("stable_key"), "kind", "name", "qualified_name", "language", "path", "start_line", "end_line")
+    entities = kept(entities.dropDuplicates(["stable_key"]))
     references = scanners.heritage(rows).select("kind", "path", "line", "target")
     references = references.union(scanners.calls(rows).select(F.lit("CALLS"), "path", "line", "target")).union(scanners.imports(rows).select(F.lit("IMPORTS"), "path", "line", "target"))
     # a declaration's own line isn't a call of it
     own = entities.select("path", F.col("start_line").alias("line"), F.col("name").alias("target"))
     references = references.join(own, ["path", "line", "target"], "left_anti").distinct()
     references = references.withColumn("id", F.sha2(F.concat_ws("\x1f", "kind", "path", F.col("line").cast("string"), "target"), 256))
-    owners = closest_enclosing(references.select("id", "path", "line"), entities.select("stable_key", "path", "start_line", "end_line"))
-    answers = entities.groupBy("name").agg(F.count("*").alias("candidates"), F.min("stable_key").alias("target_key"))
+    owners = closest_enclosing(references.select("id", "path", "line"), entities.where(~F.col("kind").isin("package", "field", "test")).select("stable_key", "path", "start_line", "end_line"))
+    answers = entities.where(~F.col("kind").isin("package", "field", "test", "constructor")).groupBy("name").agg(F.count("*").alias("candidates"), F.min("stable_key").alias("target_key"))
     named = references.withColumn("name", F.substring_index("target", ".", -1)).join(answers, "name", "left").join(owners, "id")
     known = (F.col("candidates") == 1) & F.col("owner").isNotNull() & (F.col("owner") != F.col("target_key"))
     relationships = named.where(known).select("id", "kind", F.col("owner").alias("source_key"), "target_key", F.lit(BY_NAME).alias("confidence"), F.lit("name").alias("resolution"))
     unresolved = named.where(F.coalesce("candidates", F.lit(0)) != 1).select("kind", "path", "line", "target", F.coalesce("candidates", F.lit(0)).alias("candidates"))
     empty = artifacts.where(F.col("content").isNull()).select("path", F.lit("error").alias("severity"), F.lit("no content").alias("message"))
     many = unresolved.where("candidates > 1").groupBy("path").agg(F.count("*").alias("n")).select("path", F.lit("information").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" ambiguous references")).alias("message"))
-    return Extraction(entities, relationships, unresolved, empty.union(many))
+    return Extraction(entities, relationships, unresolved, empty.union(many).union(structure.syntax_diagnostics(artifacts).select("path", "severity", "message")))
 
 
 def incremental(artifacts: DataFrame, changes: DataFrame, relationships: DataFrame, entities: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from factloom import catalog_queries  # noqa: F401
+from factloom import catalog_queries, source_queries  # noqa: F401
 from factloom import queries as Q
 
 SF = "/root/testdata/sf0.001"
