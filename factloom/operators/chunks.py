@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,8 @@ from factloom.functions import redact_secrets, short_hash, trimmed, usable_vecto
 QUERIES = 4096
 VECTORS = 32768
 STRIP = 64
+#: What a matrix product's cosine may be off from the one added up in order, with room to spare.
+NEAR = 1e-9
 #: Folders and files that never become chunks, and what makes code explanatory.
 EXCLUDED = r"(^|/)(\.git|\.next|build|coverage|dist|node_modules|target)(/|\z)"
 SECRET_FILE = r"(^|/)(\.env|id_rsa|id_ed25519)(\.|\z)"
@@ -65,36 +66,51 @@ def project(existing: DataFrame, chunks: DataFrame, model: str) -> DataFrame:
     return both.select("id", F.when(F.col("checksum").isNull(), "stale").when(F.coalesce(same, F.lit(False)), "retain").otherwise("embed").alias("action"))
 
 
-def _rounded(x: np.ndarray) -> np.ndarray:
-    """x in ten-thousandths, half up as Spark rounds doubles: by their shortest decimal form."""
-    size = np.abs(x) * 1e4
-    out = np.copysign(np.floor(size + 0.5), x)
-    for at in zip(*np.nonzero(np.abs(size % 1 - 0.5) < 1e-6), strict=True):
-        out[at] = float(Decimal(repr(float(x[at]))).scaleb(4).quantize(Decimal(1), ROUND_HALF_UP))
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two matrices, added up in the order of the components: equal rows give equal sums,
+    wherever they stand, which a matrix product doesn't promise."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
     return out
 
 
 def search_block(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, vector (places) and similarity (NaN where a norm is 0) of the k best vectors of each query, the first
-    of equal ones."""
-    n = len(vectors)
-    norms, out = np.sqrt((vectors * vectors).sum(axis=1)), []
-    for first in range(0, len(queries), STRIP):
-        q = queries[first : first + STRIP]
-        norm = np.sqrt((q * q).sum(axis=1))[:, None] * norms
+    of equal ones.
+
+    A matrix product finds what may be among the k best, NEAR below the last of them included; those are summed again
+    in order and ranked by the exact doubles. Equal vectors are one column, and stand for their first k places.
+    """
+    width = vectors.shape[1]
+    _, first, of = np.unique(np.ascontiguousarray(vectors + 0.0).view([("", f"V{8 * width}")]).ravel(), return_index=True, return_inverse=True)
+    members = np.argsort(of.ravel(), kind="stable")
+    count = np.bincount(of.ravel(), minlength=len(first))
+    starts, distinct = np.cumsum(count) - count, vectors[first]
+    norms, out = np.sqrt(_sums(distinct, distinct)), []
+    for at in range(0, len(queries), STRIP):
+        q = queries[at : at + STRIP]
+        own = np.sqrt(_sums(q, q))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x = (q @ distinct.T) / (own[:, None] * norms)
+        x = np.where(np.isfinite(x), x, -2.0)
+        least = np.partition(x, x.shape[1] - k, axis=1)[:, -k] if x.shape[1] > k else np.full(len(q), -2.0)
+        row, col = np.nonzero(x >= least[:, None] - NEAR)
         with np.errstate(invalid="ignore", divide="ignore"):
-            x = np.where(norm == 0, np.nan, (q @ vectors.T) / norm)
-        known = np.isfinite(x)
-        score = np.where(known, _rounded(np.where(known, x, 0)), -(1 << 20)).astype(np.int64)
-        order = score * n - np.arange(n)
-        top = np.argpartition(-order, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), (len(q), n))
-        best = np.take_along_axis(score, top, axis=1).ravel()
-        out.append((np.repeat(np.arange(first, first + len(q)), top.shape[1]), top.ravel(), np.where(best == -(1 << 20), np.nan, best / 1e4)))
+            exact = _sums(q[row], distinct[col]) / (own[row] * norms[col])
+        take = np.minimum(count[col], k)
+        place = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+        row, name, exact = np.repeat(row, take), members[np.repeat(starts[col], take) + place], np.repeat(exact, take)
+        order = np.lexsort((name, np.where(np.isfinite(exact), -exact, np.inf), row))
+        row, name, exact = row[order], name[order], exact[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+        out.append((row[best] + at, name[best], np.where(np.isfinite(exact[best]), exact[best], np.nan)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def semantic_search(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
-    """query_id, rank, id, similarity: the k rows of vectors(id, embedding) most like each of queries(query_id, query).
+    """query_id, rank, id, similarity: the k rows of vectors(id, embedding) most like each of queries(query_id, query),
+    by the exact doubles of their cosines; only equal ones are in order of id.
 
     Queries and vectors of one length lie in blocks of bounded size; a task has one block of each and keeps k a
     query, and a window merges the blocks, so neither side is broadcast or limited.

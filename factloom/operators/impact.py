@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import diff
@@ -65,15 +65,69 @@ def affected(relationships: DataFrame, roots: DataFrame, *, max_depth: int = 4,
     return best if max_nodes is None else best.orderBy(F.desc("confidence"), "stable_key").limit(max_nodes)
 
 
+def best_first(relationships: DataFrame, entities: DataFrame, roots: DataFrame, *, max_depth: int = 4, max_fan_out: int = 25, min_confidence: float = 0.2, max_nodes: int | None = 200) -> tuple[DataFrame, bool]:
+    """(stable_key, confidence, depth, path of what roots(stable_key) affect; whether anything was cut off), as a queue
+    finds it that always goes on from its strongest candidate, of equal ones from the least key.
+
+    A candidate is taken if it is stronger than the node's so far; the fan-out is cut before that is asked, and a node
+    beyond max_nodes isn't let in. A step weighs less than 1, say `top` at most: candidates above top times the strongest
+    are a bucket that nothing found from it can join. So a bucket's candidates are expanded at once; what each node is
+    offered lies in the queue's order, and a running maximum tells what the queue would have taken. There are as many
+    rounds as buckets have candidates, ln(min_confidence) / ln(top) at most.
+    """
+    weighted = weighted_steps(relationships, None).where("weight > 0")
+    known = entities.select(F.col("stable_key").alias("neighbour")).distinct().withColumn("_known", F.lit(True))
+    crowded = kept(weighted.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > max_fan_out).select("node"))
+    first = top_per_key(weighted, ["node"], [F.desc("weight"), F.col("id")], max_fan_out)
+    turn = Window.partitionBy("node").orderBy(F.desc("weight"), "id")  # at most max_fan_out rows
+    outgoing = relationships.select("id", F.col("source_key").alias("_source"))
+    steps = first.withColumn("turn", F.row_number().over(turn)).join(known, "neighbour").drop("_known").join(outgoing, "id")
+    steps = kept(steps.withColumn("direction", F.when(F.col("_source") == F.col("node"), "outgoing").otherwise("incoming")).drop("_source"))
+    top = steps.agg(F.max("weight")).first()[0] or 0.5
+    if top >= 1:
+        raise ValueError("every step must weigh less than 1")
+    none = F.array().cast("array<struct<id:string,kind:string,direction:string,from:string,to:string,weight:double>>")
+    entries = kept(roots.select("stable_key").distinct().join(entities.select("stable_key").distinct(), "stable_key", "left_semi").select("stable_key", F.lit(1.0).alias("confidence"), none.alias("path")))
+    size, least, truncated = entries.count(), float("inf"), False
+    while (m := entries.where(F.col("confidence") <= least).agg(F.max("confidence")).first()[0]) is not None:
+        bucket = entries.where((F.col("confidence") <= least) & (F.col("confidence") > top * m) & (F.size("path") < max_depth))
+        least = top * m
+        bucket = bucket.select(F.col("stable_key").alias("node"), F.col("confidence").alias("_from"), F.col("path").alias("_path"))
+        truncated = truncated or not bucket.join(crowded, "node", "left_semi").isEmpty()
+        step = F.struct("id", "kind", "direction", F.col("node").alias("from"), F.col("neighbour").alias("to"), "weight")
+        offered = bucket.join(steps, "node").select(F.col("neighbour").alias("stable_key"), (F.col("_from") * F.col("weight")).alias("confidence"), F.array_append("_path", step).alias("path"), F.struct((-F.col("_from")).alias("a"), F.col("node").alias("b"), F.col("turn").alias("c")).alias("_at"))
+        offered = offered.where(F.col("confidence") >= min_confidence)
+        best = entries.groupBy("stable_key").agg(F.max("confidence").alias("_best"))
+        offered = offered.join(best, "stable_key", "left")
+        before = F.max("confidence").over(Window.partitionBy("stable_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+        taken = kept(offered.withColumn("_before", before).where(F.col("confidence") > F.greatest(F.coalesce("_best", F.lit(-1.0)), F.coalesce("_before", F.lit(-1.0)))).drop("_before"))
+        fresh = taken.where("_best is null").groupBy("stable_key").agg(F.min("_at").alias("_at"))
+        n = fresh.count()
+        if max_nodes is not None and size + n > max_nodes:
+            truncated = True
+            let_in = fresh.orderBy("_at").limit(max(0, max_nodes - size)).select("stable_key").withColumn("_in", F.lit(True))
+            taken = kept(taken.join(let_in, "stable_key", "left").where("_best is not null or _in"))
+            n = max(0, max_nodes - size)
+        size += n
+        entries = entries.union(taken.select("stable_key", "confidence", "path"))
+    out = entries.groupBy("stable_key").agg(F.max_by("path", "confidence").alias("path"), F.max("confidence").alias("confidence"))
+    return out.select("stable_key", "confidence", F.size("path").alias("depth"), "path"), truncated
+
+
 def recommend_tests(tests: DataFrame, affected_: DataFrame, changed_names: DataFrame) -> DataFrame:
     """stable_key, score and level for tests(stable_key, name, path_kinds array): affected ones, and ones named after
-    what changed. Names match by equality of the normalised test name's prefix or suffix pieces, exploded to an
-    equi-join; affected_ has stable_key and confidence, changed_names has name (normalised)."""
+    what changed: a changed name of any length that the normalised test name holds. Of a test name only those pieces are
+    exploded, to an equi-join, that are as long as some changed name; affected_ has stable_key and confidence,
+    changed_names has name (normalised)."""
     kinds, n = F.col("path_kinds"), F.size("path_kinds")
     has = lambda k: F.array_contains(kinds, k)
+    names = changed_names.select("name").where(F.length("name") > 0).distinct()
+    lengths = names.select(F.length("name").alias("n")).distinct().agg(F.array_sort(F.collect_list("n"))).first()[0]  # no more than the longest name has characters
     size = F.length("test_name")
-    pieces = tests.select("stable_key", "test_name", F.explode(F.when(size >= 3, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.transform(F.sequence(F.lit(3), size - i + 1), lambda m: F.substring(F.col("test_name"), i, m)))))).otherwise(F.array("test_name"))).alias("name"))
-    named = pieces.join(changed_names.select("name").where(F.length("name") >= 3).distinct(), "name", "left_semi").select("stable_key").distinct().withColumn("named", F.lit(True))
+    pieces_of = lambda m: F.transform(F.sequence(F.lit(1), size - m + 1), lambda i: F.substring(F.col("test_name"), i, m))
+    pieces = F.array_distinct(F.flatten(F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda m: m <= size), pieces_of)))
+    pieces = tests.select("stable_key", F.explode(pieces).alias("name"))
+    named = pieces.join(names, "name", "left_semi").select("stable_key").distinct().withColumn("named", F.lit(True))
     all_ = tests.join(affected_.select("stable_key", "confidence"), "stable_key", "left").join(named, "stable_key", "left")
     base = F.when((n == 1) & has("TESTS"), 0.98).when(has("TESTS") & has("HANDLES"), 0.9).when(has("CALLS") | has("IMPORTS"), 0.78).when(F.col("named"), 0.55).otherwise(F.greatest(F.lit(0.5), F.col("confidence")))
     score = F.least(base, F.coalesce("confidence", F.lit(0.55)))

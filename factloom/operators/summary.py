@@ -15,13 +15,6 @@ def change_summary(affected: DataFrame, entities: DataFrame) -> DataFrame:
     return named.distinct()
 
 
-def section(title: str, rows: DataFrame, line: str, most: int = 1000) -> DataFrame:
-    """One row: a Markdown section with a line for each of the first `most` rows by their text, or _None._."""
-    first = rows.select(F.col(line).alias("line")).distinct().orderBy("line").limit(most)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: F.concat(F.lit("- "), x)), "\n")
-    return first.agg(F.concat(F.lit(f"## {title}\n\n"), F.when(F.count("*") > 0, body).otherwise("_None._")).alias("markdown"))
-
-
 def api_document(entities: DataFrame, relationships: DataFrame, most: int | None = None) -> DataFrame:
     """source_key, document: for each handler the endpoints that it handles, in order; all of them, or the first `most`
     and how many more there are. A document is one value, so for very large handlers `most` bounds its size."""

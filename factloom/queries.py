@@ -180,6 +180,16 @@ def affected_subgraph(spark, sf_dir):
     return _affected(spark, sf_dir, max_nodes=None)[0].withColumn("confidence", F.round("confidence", 9))
 
 
+@query()
+def affected_best_first(spark, sf_dir):
+    """What a strongest-first queue finds from every changed entity, 200 nodes beside them; held against a plain queue."""
+    entities, relationships = facts(spark, sf_dir)
+    changed = kept(diff.entity_diff(*revisions(spark, sf_dir)))
+    there = changed.join(entities, "stable_key", "left_semi")
+    found, truncated = impact.best_first(relationships, entities, there, max_nodes=there.count() + 200)
+    return found.select("stable_key", "confidence", "depth", "path", F.lit(truncated).alias("truncated"))
+
+
 @query(f"""{_affected_sql(4, 25, 0.2)}, tests AS (SELECT b.stable_key, least(CAST(0.98 AS DOUBLE), b.confidence) AS score FROM best b JOIN entities e USING (stable_key) WHERE e.kind = 'class')
     SELECT stable_key, round(score, 9) AS score, CASE WHEN score >= 0.95 THEN 'confirmed' WHEN score >= 0.5 THEN 'inferred' ELSE 'tentative' END AS level FROM tests""")
 def recommend_tests(spark, sf_dir):
@@ -301,7 +311,7 @@ def chunk_projection(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) / (q.norm * c.norm), 4) AS similarity FROM n q JOIN n c ON q.vec_id % 20 = 0)
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) / (q.norm * c.norm) AS similarity FROM n q JOIN n c ON q.vec_id % 20 = 0)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) t WHERE rank <= 8""", False)
 def semantic_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")

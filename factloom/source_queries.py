@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import activation
 from factloom.plans import kept
 from factloom.queries import query, table
 from factloom.sources import enrichment, structure, symbols
@@ -187,3 +188,71 @@ def framework_edges(spark, sf_dir):
     UNION ALL SELECT 'N' || c_custkey || '.ts', 8, 'warning', 'EXPRESS_FRAMEWORK_UNRESOLVED_HANDLER', 'Handler gone could not be resolved in the source artifact' FROM customer""", False)
 def framework_diagnostics(spark, sf_dir):
     return _web(spark, sf_dir)[1][2]
+
+
+# Activation: a run for each order stages its customer's artifact
+
+_ACTIVATION = """asked AS (
+        SELECT CAST(o_orderkey AS VARCHAR) AS run_id FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT CAST(-o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 101 = 0
+    ), runs AS (
+        SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CASE WHEN o_orderkey % 50 = 3 THEN 'other' ELSE 'shop' END AS repository_id, CAST(o_custkey AS VARCHAR) AS artifact_id, CASE WHEN o_orderkey % 60 = 5 THEN 'active' ELSE 'staged' END AS status FROM orders
+    ), deleted AS (SELECT CAST(c_custkey AS VARCHAR) AS artifact_id FROM customer WHERE c_custkey % 41 = 0
+    ), artifacts AS (SELECT CAST(c_custkey AS VARCHAR) AS artifact_id, CASE WHEN c_custkey % 47 = 0 THEN 'other' ELSE 'shop' END AS repository_id FROM customer WHERE c_custkey % 43 <> 0
+    ), touched AS (SELECT artifact_id FROM runs UNION SELECT artifact_id FROM deleted
+    ), known AS (
+        SELECT 'e' || o_orderkey AS stable_key FROM orders UNION SELECT 'b' || c_custkey FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT artifact_id FROM touched)
+    ), ends AS (SELECT 'e' || o_orderkey AS stable_key FROM orders UNION SELECT 'b' || o_custkey FROM orders UNION SELECT 'b' || (o_orderkey % 200) FROM orders)"""
+
+
+def _catalog(spark, sf_dir, faults: bool):
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    key, owner = F.col("o_orderkey").cast("string"), F.col("c_custkey").cast("string").alias("artifact_id")
+    # without faults each customer's first order stages its artifact
+    if not faults:
+        orders = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    runs = orders.select(key.alias("run_id"), F.when(F.lit(faults) & (F.col("o_orderkey") % 50 == 3), "other").otherwise("shop").alias("repository_id"), F.lit("r2").alias("revision_id"), F.col("o_custkey").cast("string").alias("artifact_id"), F.when(F.lit(faults) & (F.col("o_orderkey") % 60 == 5), "active").otherwise("staged").alias("status"))
+    artifacts = customer.where((F.col("c_custkey") % 43 != 0) | F.lit(not faults)).select(owner, F.when(F.lit(faults) & (F.col("c_custkey") % 47 == 0), "other").otherwise("shop").alias("repository_id"), F.lit("r1").alias("active_revision"))
+    revisions = spark.createDataFrame([("r1", "shop", "active"), ("r2", "shop", "staged")], "revision_id string, repository_id string, status string")
+    entities = customer.select(F.concat(F.lit("b"), "c_custkey").alias("stable_key"), owner, F.lit("r0").alias("first_seen"), F.lit("r1").alias("last_seen"))
+    edges = customer.select(F.lit("CALLS").alias("kind"), F.concat(F.lit("b"), "c_custkey").alias("source_key"), F.concat(F.lit("b"), F.col("c_custkey") % 100 + 1).alias("target_key"), owner, F.lit("r1").alias("first_seen"), F.lit("r1").alias("last_seen"))
+    catalog = activation.Catalog(runs, artifacts, revisions, spark.createDataFrame([], "idempotency_key string"), entities, edges)
+    asked = runs.select("run_id")
+    if faults:
+        asked = asked.union(orders.where("o_orderkey % 97 = 0").select(key)).union(orders.where("o_orderkey % 101 = 0").select((-F.col("o_orderkey")).cast("string")))
+    ordered = orders.select(F.col("o_custkey").alias("c_custkey")).distinct()
+    deleted = (customer.where("c_custkey % 41 = 0") if faults else customer.where("c_custkey % 3 = 0").join(ordered, "c_custkey", "left_anti")).select(owner)
+    return orders, catalog, activation.Request("shop", "r2", asked, deleted)
+
+
+@query(f"""WITH {_ACTIVATION}
+    SELECT 'duplicate run' AS rule, run_id AS subject FROM asked GROUP BY run_id HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT 'unknown run', run_id FROM asked WHERE run_id NOT IN (SELECT run_id FROM runs)
+    UNION ALL SELECT 'run of another revision', run_id FROM runs WHERE repository_id = 'other'
+    UNION ALL SELECT DISTINCT 'mixed status', status FROM runs WHERE status <> 'staged'
+    UNION ALL SELECT 'artifact staged twice', artifact_id FROM runs GROUP BY artifact_id HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT 'artifact changed and deleted', artifact_id FROM runs WHERE artifact_id IN (SELECT artifact_id FROM deleted)
+    UNION ALL SELECT 'unknown artifact', artifact_id FROM touched WHERE artifact_id NOT IN (SELECT artifact_id FROM artifacts)
+    UNION ALL SELECT 'artifact of another repository', artifact_id FROM touched JOIN artifacts USING (artifact_id) WHERE repository_id = 'other'
+    UNION ALL SELECT 'relationship without an end', stable_key FROM ends WHERE stable_key NOT IN (SELECT stable_key FROM known)""", False)
+def activation_violations(spark, sf_dir):
+    orders, catalog, request = _catalog(spark, sf_dir, True)
+    run, own = F.col("o_orderkey").cast("string").alias("run_id"), F.concat(F.lit("e"), "o_orderkey")
+    edge = lambda target: orders.select(run, F.lit("CALLS").alias("kind"), own.alias("source_key"), F.concat(F.lit("b"), target).alias("target_key"))
+    return activation.violations(request, catalog, orders.select(run, own.alias("stable_key")), edge(F.col("o_custkey")).union(edge(F.col("o_orderkey") % 200)))
+
+
+@query("""WITH first AS (SELECT o_custkey AS k, min(o_orderkey) AS o FROM orders GROUP BY o_custkey), stay AS (
+        SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT k FROM first) AND c_custkey % 3 <> 0
+    ), e AS (
+        SELECT 'b' || k AS stable_key, 'r0' AS first_seen, 'r1' AS last_seen FROM stay UNION ALL SELECT 'b' || k, 'r0', 'r2' FROM first UNION ALL SELECT 'e' || o, 'r2', 'r2' FROM first
+    )
+    SELECT 'entity' AS what, stable_key AS source, NULL AS target, first_seen, last_seen FROM e
+    UNION ALL SELECT 'CALLS', 'b' || k, 'b' || (k % 100 + 1), 'r1', 'r1' FROM stay WHERE 'b' || (k % 100 + 1) IN (SELECT stable_key FROM e)
+    UNION ALL SELECT 'CALLS', 'e' || o, 'b' || k, 'r2', 'r2' FROM first""", False)
+def activated_revision(spark, sf_dir):
+    orders, catalog, request = _catalog(spark, sf_dir, False)
+    run, own, old = F.col("o_orderkey").cast("string").alias("run_id"), F.concat(F.lit("e"), "o_orderkey"), F.concat(F.lit("b"), "o_custkey")
+    staged = orders.select(run, F.explode(F.array(own, old)).alias("stable_key"))
+    after = activation.activate(request, catalog, staged, orders.select(run, F.lit("CALLS").alias("kind"), own.alias("source_key"), old.alias("target_key")))
+    entities = after.entities.select(F.lit("entity").alias("what"), F.col("stable_key").alias("source"), F.lit(None).cast("string").alias("target"), "first_seen", "last_seen")
+    return entities.union(after.relationships.select("kind", "source_key", "target_key", "first_seen", "last_seen"))
