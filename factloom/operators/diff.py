@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import changed_fields
+from factloom.plans import kept
 
 
 def _change(base_there, target_there, modified):
@@ -68,11 +69,19 @@ def change_set(base: DataFrame, target: DataFrame) -> DataFrame:
 def coalesce_renames(changes: DataFrame) -> DataFrame:
     """Deleted and added files of equal content, paired in order of path, as renames; adds previous_path.
 
-    Numbers run within a content hash: copies of one content pair off one to one.
+    Numbers run within a content hash: copies of one content pair off one to one. They are counted in ranges of paths
+    first and inside a range then, so that no content's files are ever in one task.
     """
-    order = Window.partitionBy("hash").orderBy("path")
     side = lambda change, column: changes.where(F.col("change") == change).select("path", F.col(column).alias("hash"))
-    number = lambda df: df.withColumn("n", F.row_number().over(order))
+
+    def number(df: DataFrame) -> DataFrame:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = kept(df.repartitionByRange(n, "hash", "path").withColumn("_range", F.spark_partition_id()))
+        counts = df.groupBy("hash", "_range").count()
+        before = F.sum("count").over(Window.partitionBy("hash").orderBy("_range")) - F.col("count")
+        inside = F.row_number().over(Window.partitionBy("hash", "_range").orderBy("path"))
+        return df.join(counts.select("hash", "_range", before.alias("_before")), ["hash", "_range"]).select("path", "hash", (F.col("_before") + inside).alias("n"))
+
     gone, new = side("deleted", "previous_hash"), side("added", "current_hash")
     # only hashes on both sides are numbered: everything else needs no window
     gone, new = gone.join(new.select("hash").distinct(), "hash", "left_semi"), new.join(gone.select("hash").distinct(), "hash", "left_semi")

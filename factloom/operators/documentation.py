@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import collapse_space, normalize_endpoint_path, title_from_path
 from factloom.operators.impact import AUTH
+from factloom.plans import kept
 
 #: A heading's and a fence's line.
 _HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*\Z")
@@ -77,9 +79,10 @@ def extract_claims(sections: DataFrame) -> DataFrame:
             rows = set()
             for path, level, start, body in zip(pdf["path"], pdf["level"], pdf["line_start"], pdf["body"], strict=True):
                 first = start if level == 0 else start + 1
+                breaks = [m.start() for m in re.finditer("\n", body)]
                 for order, (kind, confidence, pattern) in enumerate(CLAIMS):
                     for m in pattern.finditer(body):
-                        line = first + body.count("\n", 0, m.start())
+                        line = first + bisect_left(breaks, m.start())
                         if kind == "endpoint":
                             subject, value = m[1].upper(), re.sub(r":([A-Za-z_$][\w$]*)", r"{\1}", m[2].split("?")[0])
                         elif kind == "configuration":
@@ -110,6 +113,7 @@ def compare_claims(claims: DataFrame, endpoints: DataFrame, names: DataFrame, co
     first of a key's definitions counts, else the least value), commands(command), paths(path). A method's only path
     is suggested for a stale endpoint, the actual value for a stale configuration. All are equi-joins: a dotted suffix of a qualified name is exploded into the names it answers to.
     """
+    claims = kept(claims)  # the pages are read once for all kinds
     of = lambda kind: claims.where(F.col("kind") == kind)
     known = endpoints.select(F.upper("method").alias("subject"), normalize_endpoint_path(F.col("path")).alias("value")).distinct()
     only = known.groupBy("subject").agg(F.count("*").alias("_n"), F.min("value").alias("_path")).where("_n = 1").select("subject", "_path")
@@ -144,8 +148,8 @@ def compare_claims(claims: DataFrame, endpoints: DataFrame, names: DataFrame, co
 def detect_gaps(entities: DataFrame, claims: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """stable_key, gap: endpoints, modules and configuration keys that no claim names, then changed entities that
     none names either. entities: stable_key, kind, name."""
-    named = claims.select(F.coalesce("value", "subject").alias("name")).union(claims.select(F.col("subject").alias("name"))).distinct()
-    silent = entities.join(named, "name", "left_anti")
+    named = claims.select(F.explode(F.array_distinct(F.array(F.coalesce("value", "subject"), "subject"))).alias("name")).distinct()
+    silent = entities.join(named if changed is None else kept(named), "name", "left_anti")
     gaps = silent.where(F.col("kind").isin("endpoint", "module", "configuration_key")).select("stable_key", F.col("kind").alias("gap"))
     if changed is None:
         return gaps

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.plans import kept
+
 
 def entity_search(entities: DataFrame, term: str, limit: int = 25) -> DataFrame:
     """Entities whose name holds the term, whatever the case, by name and key; wildcards in it count for nothing."""
@@ -63,14 +65,24 @@ def resolve_unique(references: DataFrame, symbols: DataFrame, on: str = "name")
 def nearest_match(left: DataFrame, right: DataFrame, key: str, at: str = "line") -> DataFrame:
     """For each left row (id, key, line) the right row (id, key, line) of its key at the least distance, the earlier of two.
 
-    Both sides are laid in one order per key and each left row looks back and ahead: no product of the two.
+    Both sides are laid in one order, cut into ranges of about the same size whatever the keys, and each left row looks
+    at the last right row before it, then, in the order reversed, at the last one after it: no product of the two, and
+    no row looks at another's rest. What a range lacks its neighbours have: each range's first and last right row of a
+    key are carried on over the ranges that the key is in.
     """
     rows = left.select(F.col("id").alias("left_id"), key, at, F.lit(None).cast("string").alias("right_id")).union(right.select(F.lit(None).cast("string"), key, at, F.col("id").cast("string")))
-    order = Window.partitionBy(key).orderBy(at, F.col("right_id").isNull(), "right_id")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(rows.repartitionByRange(n, key, at).withColumn("_range", F.spark_partition_id()))
     other = F.when(F.col("right_id").isNotNull(), F.struct(F.col(at).alias("at"), F.col("right_id").alias("id")))
-    back = F.last(other, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(other, True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = rows.select("left_id", F.col(at).alias("_at"), back.alias("_back"), ahead.alias("_ahead")).where("left_id is not null")
+    upto = lambda *order: Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    back = F.last(other, True).over(upto(F.col(at), F.col("right_id").isNull(), F.col("right_id")))
+    ahead = F.last(other, True).over(upto(F.col(at).desc(), F.col("right_id").isNotNull(), F.col("right_id").desc()))
+    ends = rows.groupBy(key, "_range").agg(F.min(other).alias("_first"), F.max(other).alias("_last"))
+    carried = lambda c, order: F.last(c, True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col(key).alias("_key"), F.col("_range").alias("_r"), carried("_last", F.col("_range")).alias("_from"), carried("_first", F.col("_range").desc()).alias("_to"))
+    near = rows.select("left_id", key, "_range", F.col(at).alias("_at"), back.alias("_back"), ahead.alias("_ahead")).where("left_id is not null")
+    near = near.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
+    near = near.select("left_id", "_at", F.coalesce("_back", "_from").alias("_back"), F.coalesce("_ahead", "_to").alias("_ahead"))
     before = F.when(F.col("_back").isNotNull(), F.struct((F.col("_at") - F.col("_back.at")).alias("distance"), F.lit(0).alias("turn"), F.col("_back.id").alias("id")))
     after = F.when(F.col("_ahead").isNotNull(), F.struct((F.col("_ahead.at") - F.col("_at")).alias("distance"), F.lit(1).alias("turn"), F.col("_ahead.id").alias("id")))
     return near.select("left_id", F.least(before, after).alias("m")).select("left_id", F.col("m.id").alias("right_id"), F.col("m.distance").alias("distance"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Sequence
 from functools import cache
@@ -18,17 +19,34 @@ def _own_folder() -> str:
     return f"file://{tempfile.mkdtemp(prefix='factloom-')}"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read again: iterations restart from files, not from lineage."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str = "plans") -> str:
+    """A new folder below spark.checkpoint.dir."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         shared = _own_folder()
-    path = f"{shared.rstrip('/')}/plans-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written below spark.checkpoint.dir and read again: iterations restart from files, not from lineage."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_kept(spark: SparkSession, hours: float = 24) -> int:
+    """Deletes the tables that kept() and its like wrote below spark.checkpoint.dir more than so many hours ago, when
+    nothing reads them any more; how many."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared or _own_folder())
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    before, n = 1000 * (time.time() - 3600 * hours), 0
+    for s in files.listStatus(root) if files.exists(root) else []:
+        if re.search(r"-[0-9a-f]{32}$", s.getPath().getName()) and s.getModificationTime() < before:
+            n += bool(files.delete(s.getPath(), True))
+    return n
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, parts: int = 32) -> DataFrame:

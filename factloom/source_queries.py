@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import activation
-from factloom.plans import kept
+from factloom.plans import kept, shared_path
 from factloom.queries import query, table
 from factloom.sources import enrichment, structure, symbols
+from factloom.streaming import claims
 
 
 def _files(rows: DataFrame, path: str, language: str, content: str) -> DataFrame:
@@ -256,3 +257,35 @@ def activated_revision(spark, sf_dir):
     after = activation.activate(request, catalog, staged, orders.select(run, F.lit("CALLS").alias("kind"), own.alias("source_key"), old.alias("target_key")))
     entities = after.entities.select(F.lit("entity").alias("what"), F.col("stable_key").alias("source"), F.lit(None).cast("string").alias("target"), "first_seen", "last_seen")
     return entities.union(after.relationships.select("kind", "source_key", "target_key", "first_seen", "last_seen"))
+
+
+# Queues: an outbox row for each order, and the events' users as keys that are claimed
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate, o_orderkey % 4 = 1 AS published, o_orderkey % 5 = 0 AS held, o_orderkey % 35 = 0 AS stale, o_orderkey % 3 AS attempts FROM orders), g AS (
+        SELECT id FROM o WHERE NOT published AND (NOT held OR stale) ORDER BY o_orderdate, id LIMIT 20
+    )
+    SELECT id, CASE WHEN id IN (SELECT id FROM g) THEN 'me' WHEN held THEN 'other' END AS claim_owner, CAST(attempts + CASE WHEN id IN (SELECT id FROM g) THEN 1 ELSE 0 END AS INTEGER) AS attempts FROM o""", False)
+def claimed_outbox(spark, sf_dir):
+    k = F.col("o_orderkey")
+    now, none = F.to_timestamp(F.lit("2030-01-01 00:00:00")), F.lit(None).cast("timestamp")
+    outbox = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.when(k % 4 == 1, now).alias("published_at"), none.alias("next_attempt_at"),
+        F.when(k % 35 == 0, now - F.expr("INTERVAL 60 SECONDS")).when(k % 5 == 0, now).alias("claimed_at"), F.when(k % 5 == 0, "other").alias("claim_owner"), (k % 3).cast("int").alias("attempts"),
+    )
+    return claims.claim(outbox, now, "me")[1].select("id", "claim_owner", "attempts")
+
+
+@query()
+def claims_stream(spark, sf_dir):
+    """Every user's events as claims, renewals, releases and publications of two owners, through the stateful stream and
+    its timers; held against a plain replay in the tests."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", claims.PROVIDER)
+    events = session.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as a stream takes no single file
+    event = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "view", "renew").when(F.col("event_type") == "error", "release").otherwise("publish")
+    event = F.when((event == "publish") & (F.col("event_id") % 11 != 0), "claim").otherwise(event)
+    rows = events.select(F.col("user_id").alias("key"), event.alias("event"), F.concat(F.lit("o"), F.col("event_id") % 2).alias("owner"), F.col("ts").alias("at"), "event_id", F.lit(86_400).alias("seconds"))
+    out = shared_path(spark, "claims")
+    claims.stream_claims(rows, late="1 hour").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")

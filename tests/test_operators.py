@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from factloom import functions as X
 from factloom import streaming
-from factloom.operators import chunks, diff, documentation, graph, impact
+from factloom.operators import chunks, diff, documentation, graph, impact, relational
 from factloom.sources import inventory, manifests, scanners
 from pyspark.sql import functions as F
 
@@ -289,3 +289,29 @@ def test_stream_takes_each_key_once(spark, tmp_path):
     query.awaitTermination(120)
     assert sorted(r["idempotency_key"] for r in spark.table("once").collect()) == ["k1", "k2"]
     assert [one(spark, streaming.backoff_seconds(F.col("c0").cast("int")), str(n)) for n in (1, 2, 5, 20)] == [1, 2, 16, 300]
+
+
+def test_nearest_match_across_ranges(spark):
+    """Equal to a plain search, with a hot key, ties, keys of one side only and gaps longer than a range."""
+    rng = np.random.default_rng(9)
+    left = [(i, "hot" if i % 3 else f"k{i % 7}", int(rng.integers(0, 400))) for i in range(600)] + [(900, None, 3), (901, "left only", 3)]
+    right = [(f"r{i:03d}", "hot" if i % 2 else f"k{i % 9}", int(rng.choice([*range(20), *range(300, 340)]))) for i in range(80)]
+    frames = spark.createDataFrame(left, "id long, key string, line int").repartition(5), spark.createDataFrame(right, "id string, key string, line int")
+    got = {r["left_id"]: (r["distance"], r["right_id"]) for r in relational.nearest_match(*frames, "key").collect()}
+    assert set(got) == {i for i, _, _ in left}
+    for i, key, line in left:
+        mine = [(abs(at - line), at > line, at, r) for r, k, at in right if k == key]
+        if not mine:
+            assert got[i] == (None, None)
+            continue
+        distance, later = min(m[:2] for m in mine)
+        ids = [m[3] for m in mine if m[:2] == (distance, later)]
+        assert got[i] == (distance, min(ids) if later else max(ids))
+
+
+def test_renames_of_one_content_across_ranges(spark):
+    rows = [(f"old/{i:03d}", "deleted", "h", None) for i in range(50)] + [(f"new/{i:03d}", "added", None, "h") for i in range(40)] + [("x", "deleted", "g", None), ("y", "added", None, "g"), ("z", "modified", "a", "b")]
+    got = diff.coalesce_renames(spark.createDataFrame(rows, "path string, change string, previous_hash string, current_hash string").repartition(4)).collect()
+    renamed = {(r["previous_path"], r["path"]) for r in got if r["change"] == "renamed"}
+    assert renamed == {(f"old/{i:03d}", f"new/{i:03d}") for i in range(40)} | {("x", "y")}
+    assert {r["path"] for r in got if r["change"] == "deleted"} == {f"old/{i:03d}" for i in range(40, 50)}
