@@ -49,15 +49,13 @@ def affected(relationships: DataFrame, roots: DataFrame, *, max_depth: int = 4,
     the steps' weights; the result has each node's best over all levels. A node's strongest path is thus found even
     where a longer path would have settled the node first.
     """
-    steps = kept(weighted_steps(relationships, None))
+    # a node's strongest steps are the same at every level: ranked once, so that every level joins and shuffles less
+    steps = kept(weighted_steps(relationships, max_fan_out))
     level = kept(roots.select("stable_key").distinct().withColumn("confidence", F.lit(1.0)))
     levels = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        # only what the level reaches is ranked
         taken = steps.join(level.select(F.col("stable_key").alias("node"), F.col("confidence").alias("_so_far")), "node")
-        if max_fan_out is not None:
-            taken = top_per_key(taken, ["node"], [F.desc("weight"), F.col("id")], max_fan_out)
-        reached = taken.withColumn("confidence", F.col("_so_far")).groupBy(F.col("neighbour").alias("stable_key")).agg(F.max(F.col("confidence") * F.col("weight")).alias("confidence"))
+        reached = taken.groupBy(F.col("neighbour").alias("stable_key")).agg(F.max(F.col("_so_far") * F.col("weight")).alias("confidence"))
         level = kept(reached.where(F.col("confidence") >= min_confidence))
         levels = levels.union(level.withColumn("depth", F.lit(depth)))
     best = levels.groupBy("stable_key").agg(F.max("confidence").alias("confidence"), F.min("depth").alias("depth"))
@@ -214,14 +212,12 @@ def affected_by_change(roots: DataFrame, base_relationships: DataFrame, target_r
 def evidence_paths(relationships: DataFrame, roots: DataFrame, *, max_depth: int = 4, max_fan_out: int | None = 25, min_confidence: float = 0.2) -> DataFrame:
     """stable_key, confidence, depth and path of what roots(stable_key) affect: the steps (relationship, kind, from, to,
     weight) of its strongest path, of equally strong ones the shorter, then the one of least relationship ids."""
-    steps = kept(weighted_steps(relationships, None))
+    steps = kept(weighted_steps(relationships, max_fan_out))
     none = F.array().cast("array<struct<id:string,kind:string,from:string,to:string,weight:double>>")
     level = kept(roots.select("stable_key").distinct().select("stable_key", F.lit(1.0).alias("confidence"), F.lit(0).alias("depth"), none.alias("path")))
     levels = level
     for depth in range(1, max_depth + 1):
         taken = steps.join(level.select(F.col("stable_key").alias("node"), F.col("confidence").alias("_so_far"), F.col("path").alias("_path")), "node")
-        if max_fan_out is not None:
-            taken = top_per_key(taken, ["node"], [F.desc("weight"), F.col("id")], max_fan_out)
         step = F.struct("id", "kind", F.col("node").alias("from"), F.col("neighbour").alias("to"), "weight")
         found = taken.select(F.col("neighbour").alias("stable_key"), F.struct((-F.col("_so_far") * F.col("weight")).alias("less"), F.array_append("_path", step).alias("path")).alias("f")).where(-F.col("f.less") >= min_confidence)
         best = found.groupBy("stable_key").agg(F.min("f").alias("f"))

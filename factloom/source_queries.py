@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import activation
+from factloom.operators import activation, projection
 from factloom.plans import kept, shared_path
 from factloom.queries import query, table
 from factloom.sources import enrichment, structure, symbols
@@ -289,3 +289,23 @@ def claims_stream(spark, sf_dir):
     out = shared_path(spark, "claims")
     claims.stream_claims(rows, late="1 hour").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+# Chunks: two to a document, of which every second document is updated and some are removed
+
+_CHUNKS = """old AS (SELECT doc_id, n, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE 'm' END AS model FROM documents, (VALUES (0), (1)) v(n) WHERE doc_id % 3 <> 0
+    ), new AS (SELECT doc_id, n, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'same' END AS checksum FROM documents, (VALUES (0), (1)) v(n) WHERE doc_id % 2 = 0 AND (n = 0 OR doc_id % 4 = 0))"""
+
+
+@query(f"""WITH {_CHUNKS}
+    SELECT 'c' || doc_id || ':' || n AS id, 'same' AS checksum, model, 'r1' AS revision FROM old WHERE doc_id % 2 = 1 AND doc_id % 11 <> 0
+    UNION ALL SELECT 'c' || doc_id || ':' || n, checksum, 'm', 'r2' FROM new""", False)
+def chunk_table(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("parent"), F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+    docs = docs.withColumn("id", F.concat(F.lit("c"), "doc_id", F.lit(":"), "n"))
+    k = F.col("doc_id")
+    existing = docs.where(k % 3 != 0).select("id", "parent", F.lit("same").alias("checksum"), F.when(k % 7 == 0, "old").otherwise("m").alias("model"), F.lit("r1").alias("revision"), F.array(F.lit(0.0)).alias("vector"))
+    chunks_ = docs.where((k % 2 == 0) & ((F.col("n") == 0) | (k % 4 == 0))).select("id", "parent", F.when(k % 5 == 0, "new").otherwise("same").alias("checksum"))
+    planned = kept(projection.plan(existing, chunks_, docs.where(k % 2 == 0).select("parent").distinct(), docs.where((k % 2 == 1) & (k % 11 == 0)).select("parent").distinct(), "m"))
+    vectors = planned.where("action = 'embed'").select("id", F.array(F.lit(1.0)).alias("vector"))
+    return projection.merged(existing, chunks_, planned, vectors, "m", "r2").select("id", "checksum", "model", "revision")
