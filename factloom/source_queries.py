@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import activation, projection
-from factloom.plans import kept, shared_path
-from factloom.queries import query, table
+from factloom.operators import activation, diff, impact, projection, report
+from factloom.plans import facts, kept, revisions, shared_path
+from factloom.queries import _affected_sql, query, table
 from factloom.sources import enrichment, structure, symbols
 from factloom.streaming import claims
 
@@ -309,3 +309,28 @@ def chunk_table(spark, sf_dir):
     planned = kept(projection.plan(existing, chunks_, docs.where(k % 2 == 0).select("parent").distinct(), docs.where((k % 2 == 1) & (k % 11 == 0)).select("parent").distinct(), "m"))
     vectors = planned.where("action = 'embed'").select("id", F.array(F.lit(1.0)).alias("vector"))
     return projection.merged(existing, chunks_, planned, vectors, "m", "r2").select("id", "checksum", "model", "revision")
+
+
+# The report of the change between the two revisions
+
+
+@query(f"""{_affected_sql(2, 25, 0.2)}, r AS (
+        SELECT 0 AS ordinal, '- `' || s_name || '`' AS line FROM supplier
+        UNION ALL SELECT 1, '- **' || change || '** `' || stable_key || '`' || CASE WHEN changed_fields <> '' THEN ' (' || changed_fields || ')' ELSE '' END FROM changed
+        UNION ALL SELECT CASE kind WHEN 'endpoint' THEN 3 ELSE 4 END, '- `' || stable_key || '`' FROM best JOIN entities USING (stable_key) WHERE kind IN ('endpoint', 'module', 'package')
+        UNION ALL SELECT 6, '- `c' || c_custkey || '` — ' || CASE c_custkey % 3 WHEN 0 THEN 'Direct TESTS relationship to a changed entity (0.90, inferred)' WHEN 1 THEN 'Calls or imports an affected code path (0.78, inferred)' ELSE 'Connected through the bounded affected subgraph (0.90, inferred)' END FROM customer
+        UNION ALL SELECT 7, '- **' || n_name || ' (+' || n_nationkey || ')**' FROM nation
+        UNION ALL SELECT 8, '- ' || n_name FROM (SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 5) t
+        UNION ALL SELECT * FROM (VALUES (2, '_None._'), (5, '_None._')) v
+    )
+    SELECT CAST(ordinal AS INTEGER) AS ordinal, line FROM r""")
+def change_report(spark, sf_dir):
+    entities, relationships = facts(spark, sf_dir)
+    changes = kept(diff.entity_diff(*revisions(spark, sf_dir)))
+    affected = impact.affected(relationships, changes, max_depth=2, max_nodes=None).join(entities.select("stable_key", "kind"), "stable_key")
+    customer = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("stable_key"), (F.col("c_custkey") % 3).cast("int").alias("k"))
+    step = lambda kind: F.array(F.struct(F.lit(kind).alias("kind")))
+    paths = customer.select("stable_key", F.lit(0.9).alias("confidence"), F.when(F.col("k") == 0, step("TESTS")).when(F.col("k") == 1, step("CALLS")).otherwise(step("CONTAINS")).alias("path"))
+    tests = report.suggested_tests(customer.select("stable_key", F.col("stable_key").alias("test_name")), paths, spark.createDataFrame([], "name string"))
+    factors = table(spark, sf_dir, "nation").select(F.col("n_name").alias("factor"), F.col("n_nationkey").cast("int").alias("weight"))
+    return report.lines(changes, affected, tests, factors, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("path"))).select("ordinal", "line")
