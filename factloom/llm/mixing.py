@@ -88,11 +88,19 @@ def mix(
 
     Sources are a small dimension that weights are given for: beyond max_sources this raises, it drops none.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows = scratch.keep(docs.select("doc_id", "source", _size(), _hash_of(docs).alias("_key"), F.spark_partition_id().alias("_part")))
+    return _mixed(_numbered(rows, scratch), weights, budget, ceiling, schedule, max_sources)
+
+
+def _size() -> Column:
+    return F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("_size")
+
+
+def _mixed(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, ceiling: float = 2.0, schedule: Callable[[int], Schedule] = default_schedule, max_sources: int = 100_000) -> DataFrame:
+    """mix() of rows(doc_id, source, _size, _key, _n), in which (_key, _n) names a row."""
+    spark = rows.sparkSession
     passes = max(1, math.ceil(ceiling))
-    rows = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("_size"), _hash_of(docs).alias("_key"), F.spark_partition_id().alias("_part"))
-    rows = _numbered(scratch.keep(rows), scratch)
     key = F.xxhash64("_key", "_n")
     rows = rows.select("doc_id", "source", "_size", key.alias("_order"), F.pmod(F.shiftright(key, 20), F.lit(SLICES)).cast("int").alias("_slice"))
     slices = rows.groupBy("source", "_slice").agg(F.sum("_size").alias("_sum"))
@@ -137,15 +145,20 @@ def _hash_of(docs: DataFrame) -> Column:
     return F.xxhash64(*[x for c in ("doc_id", "source", "text") for x in parts(F.col(c), kinds[c].dataType)])
 
 
-def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows(_key, _part, ...) with _n, the number of each among those of its key: 0 where a key is alone. Rows of a key
-    are counted for each part first; then only parts of keys that recur are numbered inside."""
-    parts = rows.groupBy("_key", "_part").agg(F.count("*").alias("_c"))
-    of_key = Window.partitionBy("_key")
-    parts = parts.select("_key", "_part", F.sum("_c").over(of_key).alias("_all"), (F.sum("_c").over(of_key.orderBy("_part")) - F.col("_c")).alias("_before"))
-    again = scratch.keep(parts.where("_all > 1").select("_key", "_part", "_before"))
-    if again.isEmpty():
+def _repeated(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The values of _key that several of rows have."""
+    return scratch.keep(rows.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select("_key"))
+
+
+def _numbered(rows: DataFrame, scratch: Scratch, repeated: DataFrame | None = None) -> DataFrame:
+    """rows(_key, _part, ...) with _n, the number of each among those of its key: 0 where a key is alone. Rows of a
+    repeated key are counted for each part first; then only its parts are numbered inside."""
+    repeated = _repeated(rows, scratch) if repeated is None else repeated
+    if repeated.isEmpty():
         return rows.withColumn("_n", F.lit(0).cast("long"))
+    parts = rows.groupBy("_key", "_part").agg(F.count("*").alias("_c")).join(repeated, "_key", "left_semi")
+    before = F.sum("_c").over(Window.partitionBy("_key").orderBy("_part")) - F.col("_c")
+    again = scratch.keep(parts.select("_key", "_part", before.alias("_before")))
     first = rows.join(again, ["_key", "_part"], "left_anti").withColumn("_n", F.lit(0).cast("long"))
     inside = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_size"))
     rest = rows.join(again, ["_key", "_part"]).withColumn("_n", F.col("_before") + inside - 1).drop("_before")
@@ -168,11 +181,25 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     Texts stay whole: of the document that a source's target ends in, the pass counts if the target asks for half of
     it or more. So a source's words are within half a document of its target. Rows that agree in all columns but maps
     may change places.
+
+    docs must read the same twice, as a written table does: positions are found for hashes of rows, and the rows, read
+    again, are joined to them. Only where hashes recur is a copy of the rows written, in which equal ones are numbered.
     """
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    mixed = mix(docs.select(row.alias("doc_id"), F.col("text"), F.col("source")), **options)
+    docs = docs.select(row.alias("doc_id"), F.col("text"), F.col("source"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    keyed = docs.select("doc_id", "source", _size(), _hash_of(docs).alias("_key"), F.spark_partition_id().alias("_part"))
+    keys = scratch.keep(keyed.select("source", "_size", "_key"))
+    repeated = _repeated(keys, scratch)
     times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    mixed = mixed.where(times > 0).select("*", F.posexplode(F.slice("positions", 1, times)).alias("_pass", "_at_pass"))
-    mixed = mixed.select("doc_id", F.coalesce("_at_pass", "position").alias("_at"))
+    ats = F.transform(F.slice("positions", 1, times), lambda at: F.coalesce(at, F.col("position")))
+    if repeated.isEmpty():
+        mixed = _mixed(keys.select(F.col("_key").alias("doc_id"), "source", "_size", "_key", F.lit(0).cast("long").alias("_n")), **options)
+        placed = mixed.where(times > 0).select(F.col("doc_id").alias("_key"), ats.alias("_ats"))
+        # always shuffled: the narrow side grows with the documents
+        mixed = keyed.select("doc_id", "_key").join(placed.hint("shuffle_hash"), "_key")
+    else:
+        mixed = _mixed(_numbered(scratch.keep(keyed), scratch, repeated), **options).where(times > 0).select("doc_id", ats.alias("_ats"))
+    mixed = mixed.select("doc_id", F.explode("_ats").alias("_at"))
     return mixed.orderBy("_at").select(*[F.col("doc_id")[c].alias(c) for c in names])
