@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from factloom import functions as X
 from factloom import streaming
 from factloom.operators import answers as answering
-from factloom.operators import catalog, chunks, diff, documentation, impact, provenance, relational
+from factloom.operators import asking, catalog, chunks, diff, documentation, impact, provenance, relational
 from factloom.plans import facts, revisions
 from factloom.queries import _DIFF, QUERIES, _relationship_revisions, query, table
-from factloom.sources import extraction, scanners
+from factloom.sources import extraction, manifests, scanners
 
 # Provenance
 
@@ -393,11 +393,6 @@ def normalised_names(spark, sf_dir):
     return X.normalised(given, "normal").select("name", (F.col("given") != F.col("normal")).alias("differ"), "normal")
 
 
-@query("SELECT i.intent, i.max_depth, i.max_nodes FROM (VALUES ('callers', 3, 80), ('callees', 3, 80), ('endpoint_flow', 3, 80), ('configuration_usage', 3, 80), ('test_impact', 3, 80), ('documentation_impact', 3, 80), ('module_explanation', 3, 80), ('entity_lookup', 0, 80)) i(intent, max_depth, max_nodes)", False)
-def question_policies(spark, sf_dir):
-    return answering.policies(spark).select("intent", "max_depth", "max_nodes")
-
-
 # Every branch of scanners and scores
 
 
@@ -443,3 +438,79 @@ def closed_activation(spark, sf_dir):
     staged = orders.where("r % 4 = 0").select("stable_key", F.lit("new").alias("artifact"))
     edges = staged.select(F.col("stable_key").alias("source_key")).withColumn("target_key", F.col("source_key")).union(previous.select("stable_key", "stable_key"))
     return relational.activate(previous, staged, spark.createDataFrame([("gone",)], "artifact string"), edges, "r2")
+
+
+# Questions from text to answer, sources of documents, repeated keys
+
+
+def _asked_sql() -> str:
+    """Three levels of the walk, written out: a recursive query can't count what a question holds already."""
+    kinds = "['CONTAINS', 'DECLARES', 'DEPENDS_ON', 'HANDLES']"
+    out = f""", q AS (SELECT c_custkey AS question, CASE c_custkey % 4 WHEN 0 THEN 'module_explanation' WHEN 1 THEN 'endpoint_flow' WHEN 2 THEN 'entity_lookup' ELSE 'callers' END AS intent,
+        CASE WHEN c_custkey % 4 = 3 THEN concat('zz', c_custkey) ELSE c_name END AS term, CASE c_custkey % 4 WHEN 0 THEN {kinds} ELSE ['HANDLES', 'CALLS', 'USES_MIDDLEWARE', 'READS_CONFIG'] END AS kinds, CASE WHEN c_custkey % 4 = 2 THEN 0 ELSE 3 END AS most FROM customer),
+    rooted AS (SELECT question, stable_key, row_number() OVER (PARTITION BY question ORDER BY name, stable_key) AS n FROM q JOIN entities ON contains(lower(name), lower(term)) OR contains(coalesce(lower(attributes), ''), lower(term))),
+    edg AS (SELECT kind, source_key AS a, target_key AS b FROM relationships UNION ALL SELECT kind, target_key, source_key FROM relationships),
+    v0 AS (SELECT question, stable_key, 0 AS depth, false AS packed FROM rooted WHERE n <= 5)"""
+    for d in range(1, 4):
+        out += f""",
+    f{d} AS (SELECT DISTINCT v.question, e.b AS stable_key FROM v{d - 1} v JOIN q USING (question) JOIN edg e ON e.a = v.stable_key SEMI JOIN entities x ON e.b = x.stable_key WHERE v.depth = {d - 1} AND q.most >= {d} AND list_contains(q.kinds, e.kind) AND v.question NOT IN (SELECT question FROM v{d - 1} WHERE packed)),
+    n{d} AS (SELECT f.question, f.stable_key, {d} AS depth, row_number() OVER (PARTITION BY f.question ORDER BY f.stable_key) + h.c > 80 AS packed FROM (SELECT * FROM f{d} ANTI JOIN v{d - 1} USING (question, stable_key)) f JOIN (SELECT question, count(*) AS c FROM v{d - 1} GROUP BY 1) h USING (question)),
+    v{d} AS (SELECT * FROM v{d - 1} UNION ALL SELECT * FROM n{d})"""
+    return (
+        out
+        + """,
+    c AS (SELECT question, kind, source, row_number() OVER (PARTITION BY question ORDER BY turn, path, line, source) AS n FROM (
+        SELECT question, 0 AS turn, 'structural' AS kind, concat('src/', o_custkey) AS path, o_orderkey % 100 AS line, stable_key AS source FROM v3 JOIN orders ON stable_key = concat('endpoint:', o_orderkey) WHERE NOT packed AND o_orderkey % 4 <> 0
+        UNION ALL SELECT c_custkey, 1, 'semantic', '', 0, concat('chunk', c_custkey) FROM customer WHERE c_custkey % 5 <> 0) t),
+    l AS (SELECT question, stable_key, row_number() OVER (PARTITION BY question ORDER BY depth, stable_key) AS place FROM v3 WHERE NOT packed),
+    s AS (SELECT question, source, min(n) AS n FROM c WHERE kind = 'structural' GROUP BY ALL),
+    w AS (SELECT l.question, string_agg(concat('- ', e.kind, ' ', e.name, CASE WHEN s.n IS NULL THEN '' ELSE concat(' [E', s.n, ']') END), chr(10) ORDER BY place) AS lines FROM l JOIN entities e USING (stable_key) LEFT JOIN s ON s.question = l.question AND s.source = l.stable_key WHERE place <= 12 GROUP BY 1),
+    i AS (SELECT question, string_agg(concat('E', n), ',' ORDER BY n) FILTER (kind = 'structural') AS st, string_agg(concat('E', n), ',' ORDER BY n) FILTER (kind = 'semantic') AS se FROM c GROUP BY 1)
+    SELECT q.question, intent, CASE WHEN lines IS NOT NULL THEN concat('Confirmed structural evidence:', chr(10), lines) WHEN se IS NOT NULL THEN concat('Semantic evidence was found, but natural-language synthesis is unavailable. Review [', replace(se, ',', '], ['), '].')
+            ELSE 'No supported canonical or semantic evidence matched this question.' END AS answer,
+        coalesce(CASE WHEN lines IS NOT NULL THEN st ELSE se END, '') AS citations, CASE WHEN lines IS NOT NULL AND st IS NOT NULL THEN 'high' WHEN lines IS NULL AND se IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence,
+        q.question IN (SELECT question FROM v3 WHERE packed) AS truncated, CASE WHEN lines IS NULL THEN concat('No canonical entity matched ', term) ELSE '' END AS degraded
+    FROM q LEFT JOIN w ON w.question = q.question LEFT JOIN i ON i.question = q.question"""
+    )
+
+
+def _questions(spark, sf_dir) -> DataFrame:
+    k, quoted = F.col("c_custkey"), F.concat(F.lit('"'), "c_name", F.lit('"'))
+    text = F.when(k % 4 == 0, F.concat(F.lit("Explain "), quoted, F.lit(" as a module"))).when(k % 4 == 1, F.concat(F.lit("What happens in "), quoted, F.lit("?"))).when(k % 4 == 2, F.concat(F.lit("Where is "), quoted, F.lit("?")))
+    return table(spark, sf_dir, "customer").select(k.alias("question"), text.otherwise(F.concat(F.lit("Who calls 'zz"), k, F.lit("'?"))).alias("text"))
+
+
+@query("SELECT c_custkey AS question, CASE c_custkey % 4 WHEN 3 THEN 'incoming' ELSE 'both' END AS direction, CASE c_custkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 0 ELSE 3 END AS kinds, CASE WHEN c_custkey % 4 = 2 THEN 0 ELSE 3 END AS max_depth, 80 AS max_nodes FROM customer", False)
+def question_policies(spark, sf_dir):
+    asked = _questions(spark, sf_dir).select("question", X.question_intent(F.col("text")).alias("intent"))
+    return asked.join(F.broadcast(answering.policies(spark)), "intent").select("question", "direction", F.size("kinds").alias("kinds"), "max_depth", "max_nodes")
+
+
+@query(_asked_sql())
+def answered_questions(spark, sf_dir):
+    k, customers, orders = F.col("c_custkey"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    places = orders.where("o_orderkey % 4 <> 0").select(F.concat(F.lit("endpoint:"), "o_orderkey").alias("stable_key"), F.concat(F.lit("src/"), "o_custkey").alias("path"), (F.col("o_orderkey") % 100).cast("int").alias("start_line"))
+    semantic = customers.where(k % 5 != 0).select(k.alias("question"), F.concat(F.lit("chunk"), k).alias("id"), F.lit(0.5).alias("similarity"))
+    out = asking.ask(_questions(spark, sf_dir), *facts(spark, sf_dir), places, semantic)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("citations", "degraded")})
+
+
+@query(r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(replace(text, '. ', concat('.', chr(10), '## ')), chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, r, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM d), h AS (SELECT *, regexp_matches(line, '^#{1,6}\s+\S') AS head FROM l),
+    s AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY r ORDER BY n) AS i, bool_or(head) OVER (PARTITION BY r) AS headed, bool_or(regexp_matches(line, '\S')) OVER (PARTITION BY r) AS ink FROM h)
+    SELECT concat('d', doc_id, '.md#section-', CASE WHEN headed THEN i ELSE 1 END) AS source_id, CAST(min(n) AS INTEGER) AS start_line, CAST(max(n) AS INTEGER) AS end_line, md5(string_agg(line, chr(10) ORDER BY n)) AS digest
+    FROM s WHERE i > 0 OR (NOT headed AND ink) GROUP BY doc_id, r, i, headed""", False)
+def document_sources(spark, sf_dir):
+    content = F.replace("text", F.lit(". "), F.lit(".\n## "))
+    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), F.lit("documentation").alias("kind"), content.alias("content"))
+    return chunks.document_sources(pages).select("source_id", "start_line", "end_line", F.md5("content").alias("digest"))
+
+
+@query("""SELECT concat('p', p_partkey, '.properties') AS path, 3 AS line, 'CONFIGURATION_DUPLICATE_KEY' AS code, 'warning' AS severity, concat('Duplicate configuration key a.', p_size, ' was ignored') AS message FROM part
+    UNION ALL SELECT concat('p', p_partkey, '.yaml'), 4, 'CONFIGURATION_DUPLICATE_KEY', 'warning', 'Duplicate configuration key db.size was ignored' FROM part WHERE p_partkey % 2 = 0""", False)
+def configuration_diagnostics(spark, sf_dir):
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    key = F.concat(F.lit("a."), "p_size")
+    flat = part.select(F.concat(F.lit("p"), k, F.lit(".properties")).alias("path"), F.concat(key, F.lit("=1\n# a note\n"), key, F.lit(": 2\nother=3")).alias("content"))
+    nested = part.select(F.concat(F.lit("p"), k, F.lit(".yaml")).alias("path"), F.concat(F.lit("db:\n  size: "), k, F.lit("\n  name: x\n  "), F.when(k % 2 == 0, "size").otherwise("length"), F.lit(": 5\n")).alias("content"))
+    return manifests.configuration_diagnostics(flat.union(nested))

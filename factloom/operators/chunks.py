@@ -150,6 +150,35 @@ def removed_sources(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     return chunks.join(gone.distinct(), "path", "left_semi").select("source_id").distinct()
 
 
+#: A heading's line (of any block, fenced or not), and files that lock dependencies.
+SECTION_HEADING = r"^#{1,6}[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+[^\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LOCKFILE = r"(^|/)(package-lock\.json|pnpm-lock\.yaml|yarn\.lock)\z"
+
+
+def document_sources(artifacts: DataFrame) -> DataFrame:
+    """source_id, path, kind, content, start_line, end_line: a source for each heading's lines up to the next heading, of
+    documentation artifacts(path, kind, content); the whole of a page without headings, unless it is blank.
+
+    What stands before the first heading is in no source; fences aren't looked for. Lock files are none.
+    """
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluates value once a row
+    pages = artifacts.where((F.col("kind") == "documentation") & ~F.col("path").rlike(LOCKFILE))
+    whole = F.when(trimmed(F.col("content")) != "", F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+
+    def sections(lines: Column) -> Column:
+        headed = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(SECTION_HEADING), i)), lambda i: i.isNotNull())
+
+        def cut(start: Column, i: Column, starts: Column) -> Column:
+            end = F.coalesce(F.get(starts, i + 1), F.size(lines))
+            content = F.array_join(F.slice(lines, start + 1, end - start), "\n")
+            return F.struct((i + 1).alias("n"), content.alias("content"), (start + 1).alias("start_line"), end.alias("end_line"))
+
+        return let(headed, lambda h: let(F.when(F.size(h) > 0, h).otherwise(whole), lambda starts: F.transform(starts, lambda s, i: cut(s, i, starts))))
+
+    found = pages.select("path", "kind", F.explode(let(F.split("content", "\n"), sections)).alias("s"))
+    return found.select(F.concat("path", F.lit("#section-"), "s.n").alias("source_id"), "path", "kind", "s.content", "s.start_line", "s.end_line")
+
+
 def code_sources(artifacts: DataFrame, entities: DataFrame) -> DataFrame:
     """source_id, path, kind, content: one source for each code artifact(path, kind, content) with an entity(path, kind,
     visibility) that isn't private; lockfiles, tests, configuration and build files are none."""

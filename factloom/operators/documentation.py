@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -162,11 +163,16 @@ PENALTY = {"high": 15, "medium": 8, "low": 3, "informational": 1}
 
 
 def health(findings: DataFrame, gaps: DataFrame, completeness: float = 1.0) -> DataFrame:
-    """One row: score (0 to 100) and the counts it is made of."""
-    counts = findings.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in PENALTY], F.count("*").alias("findings")).withColumn("_", F.lit(1))
+    """One row: score (0 to 100), the counts it is made of, how many findings are confirmed and how many are for review,
+    and an explanation of the sum. completeness counts as 0 to 1."""
+    missing = math.floor((1 - max(0.0, min(1.0, completeness))) * 20 + 0.5)
+    confirmed = F.count_if(F.col("status") == "confirmed")
+    counts = findings.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in PENALTY], F.count("*").alias("findings"), confirmed.alias("confirmed")).withColumn("_", F.lit(1))
     both = counts.join(gaps.agg(F.count("*").alias("gaps")).withColumn("_", F.lit(1)), "_").drop("_")  # one row each
-    cost = sum((F.col(s) * p for s, p in PENALTY.items()), F.lit(0)) + F.col("gaps") + round((1 - completeness) * 20)
-    return both.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), 100 - cost)).cast("int"))
+    penalty = sum((F.col(s) * p for s, p in PENALTY.items()), F.lit(0))
+    score = F.greatest(F.lit(0), F.least(F.lit(100), 100 - penalty - F.col("gaps") - missing)).cast("int")
+    said = F.format_string(f"100 - %d finding penalty - %d gap penalty - {missing} indexing penalty = %d", penalty, F.col("gaps"), score)
+    return both.select("*", (F.col("findings") - F.col("confirmed")).alias("review"), score.alias("score"), said.alias("explanation"))
 
 
 def mermaid(edges: DataFrame, n: int = 30) -> DataFrame:

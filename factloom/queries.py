@@ -463,7 +463,8 @@ def documentation_gaps(spark, sf_dir):
     return documentation.detect_gaps(facts(spark, sf_dir)[0], _findings(spark, sf_dir)[1])
 
 
-@query("""SELECT n AS high, CAST(0 AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS informational, n AS findings, n + 5 AS gaps, CAST(greatest(0, 100 - 15 * n - (n + 5) - 5) AS INTEGER) AS score FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey % 10 = 0) t""", False)
+@query("""SELECT n AS high, CAST(0 AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS informational, n AS findings, n AS confirmed, CAST(0 AS BIGINT) AS review, n + 5 AS gaps, CAST(greatest(0, 100 - 15 * n - (n + 5) - 5) AS INTEGER) AS score,
+    concat('100 - ', 15 * n, ' finding penalty - ', n + 5, ' gap penalty - 5 indexing penalty = ', greatest(0, 100 - 15 * n - (n + 5) - 5)) AS explanation FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey % 10 = 0) t""", False)
 def documentation_health(spark, sf_dir):
     findings, claims = _findings(spark, sf_dir)
     return documentation.health(findings, documentation.detect_gaps(facts(spark, sf_dir)[0], claims), 0.75)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keys whose values are never shown.
@@ -67,8 +67,8 @@ def gradle_manifests(artifacts: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.concat(plain, plugins, dynamic)).alias("r")).select("path", "r.*")
 
 
-def configuration_keys(artifacts: DataFrame) -> DataFrame:
-    """path, line, key, value of .properties files, YAML files and .env.example; of a file's equal keys the first counts.
+def configuration_definitions(artifacts: DataFrame) -> DataFrame:
+    """path, line, key, value of .properties files, YAML files and .env.example, as they stand.
 
     YAML nesting is a stack of (indent, key), folded over a file's lines.
     """
@@ -92,5 +92,18 @@ def configuration_keys(artifacts: DataFrame) -> DataFrame:
     yaml = lines.where(F.col("path").rlike(r"\.ya?ml$"))
     numbered = F.transform("lines", lambda line, i: F.struct(i.alias("at"), line.alias("line")))
     nested = yaml.select("path", F.explode(F.aggregate(numbered, zero, step, lambda acc: acc["out"])).alias("r")).select("path", "r.*")
-    first = flat.union(nested).groupBy("path", "key").agg(F.min(F.struct("line", "value")).alias("f"))
+    return flat.union(nested)
+
+
+def configuration_keys(artifacts: DataFrame) -> DataFrame:
+    """configuration_definitions with secret values hidden; of a file's equal keys the first counts."""
+    first = configuration_definitions(artifacts).groupBy("path", "key").agg(F.min(F.struct("line", "value")).alias("f"))
     return first.select("path", "f.line", "key", shown(F.col("key"), F.col("f.value")).alias("value"))
+
+
+def configuration_diagnostics(artifacts: DataFrame) -> DataFrame:
+    """path, line, code, severity, message: a warning for each definition of a key that its file has defined before."""
+    n = F.row_number().over(Window.partitionBy("path", "key").orderBy("line"))
+    later = configuration_definitions(artifacts).select("path", "line", "key", n.alias("n")).where("n > 1")
+    message = F.concat(F.lit("Duplicate configuration key "), "key", F.lit(" was ignored"))
+    return later.select("path", "line", F.lit("CONFIGURATION_DUPLICATE_KEY").alias("code"), F.lit("warning").alias("severity"), message.alias("message"))
