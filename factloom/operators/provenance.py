@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a bin: a declaration is in as many as it touches, a place in one.
-BIN = 64
+from factloom.plans import kept
 
 
 def with_sources(entities: DataFrame, provenance: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -50,15 +49,23 @@ def closest_enclosing(places: DataFrame, declarations: DataFrame) -> DataFrame:
     """id and owner of places(id, path, line): the narrowest of declarations(stable_key, path, start_line, end_line)
     that holds the line, of equally wide ones the later, then the least key; null where none does.
 
-    An equi-join on bins of lines: a declaration has a row for each bin that it touches, so a long file's places meet
-    only what is about their own lines.
+    A declaration's lines are cut into aligned blocks of a power of two, twice as many as the logarithm of their number
+    at most, and a block keeps its narrowest declaration only. A line lies in one block of each size, so it meets one
+    row for each size, however many declarations stand around it; equal lines of a file are asked for once.
     """
-    binned = declarations.select("stable_key", "path", "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))).alias("_bin"))
-    mine = places.select("id", "path", "line", F.floor(F.col("line") / BIN).alias("_bin"))
-    inside = mine.join(binned, ["path", "_bin"]).where("line between start_line and end_line")
-    width = F.struct((F.col("end_line") - F.col("start_line")).alias("width"), (-F.col("start_line")).alias("later"), "stable_key")
-    owner = inside.groupBy("id").agg(F.min(width).alias("w")).select("id", F.col("w.stable_key").alias("owner"))
-    return places.select("id").join(owner, "id", "left")
+    held = declarations.where("end_line >= start_line").select("stable_key", "path", F.col("start_line").cast("long").alias("a"), (F.col("end_line").cast("long") + 1).alias("b"))
+    width = F.struct((F.col("b") - F.col("a")).alias("width"), (-F.col("a")).alias("later"), "stable_key").alias("w")
+    sized = held.select("path", "a", "b", width, F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("b") - F.col("a")) + 1e-9).cast("int"))).alias("size"))
+    low, high = -F.expr("shiftright(-a, size)"), F.expr("shiftright(b, size)")  # the blocks of this size that lie in [a, b)
+    odd = lambda c: F.pmod(c, F.lit(2)) == 1
+    ends = F.array_compact(F.array(F.when((low < high) & odd(low), low), F.when((low < high) & odd(high), high - 1)))  # of all but these a larger block has all
+    blocks = sized.select("path", "size", F.explode(ends).alias("block"), "w").groupBy("path", "size", "block").agg(F.min("w").alias("w"))
+    blocks = kept(blocks)
+    sizes = blocks.groupBy().agg(F.array_sort(F.collect_set("size"))).first()[0]  # no more than a line number has bits
+    asked = places.select("path", F.col("line").cast("long").alias("line")).distinct()
+    asked = asked.select("path", "line", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).withColumn("block", F.expr("shiftright(line, size)"))
+    owner = asked.join(blocks, ["path", "size", "block"]).groupBy("path", "line").agg(F.min("w").alias("w")).select("path", "line", F.col("w.stable_key").alias("owner"))
+    return places.select("id", "path", F.col("line").cast("long").alias("line")).join(owner, ["path", "line"], "left").select("id", "owner")
 
 
 def root_lookup(entities: DataFrame, term: str, limit: int = 5) -> DataFrame:
