@@ -15,39 +15,45 @@ GRAM = 3
 FOUND, STARTS, LINES = 10, 5, 12
 
 
-def _grams(text: Column, n: int) -> Column:
-    """The distinct substrings of n characters; none of a shorter text."""
+def _grams(text: Column, n: int, distinct: bool = True) -> Column:
+    """The distinct substrings of n characters, or all in their order; none of a shorter text."""
     last = F.length(text) - n + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))))
-
-
-def _grams_of_all(texts: Column, n: int) -> Column:
-    return F.array_distinct(F.flatten(F.array_compact(F.transform(texts, lambda t: _grams(t, n)))))
+    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(last > 0, F.array_distinct(grams) if distinct else grams)
 
 
 def find_roots(terms: DataFrame, entities: DataFrame, limit: int = FOUND) -> DataFrame:
     """question, stable_key, place: for terms(question, term) the first `limit` entities by name and key whose name,
     qualified name or attributes hold the term, whatever the case; % and _ in it count as nothing.
 
-    A term meets only the texts that hold its rarest gram of three characters, then it is looked for in them. Terms of
-    fewer characters are grams themselves, and an empty one finds the first entities of all. Equal terms are sought once.
+    A term is known by its rarest gram of three characters, where that stands in it, its length and how it begins. A
+    text gives the pieces of itself that are cut so around its own grams, and a piece meets the term that it equals: no
+    text meets a term that it lacks, however common their grams. Terms of fewer characters are grams themselves, and an
+    empty one finds the first entities of all. Equal terms are sought once.
     """
     plain = F.lower(F.regexp_replace("term", "[%_]", ""))
     asked = kept(terms.select("question", plain.alias("term")).where("term is not null"))
     distinct = asked.select("term").distinct()
     texts = [F.lower(F.col(c)) for c in ("name", "qualified_name", "attributes") if c in entities.columns]
-    held = entities.select("stable_key", "name", F.array_compact(F.array(*texts)).alias("_texts"))
+    held = entities.select("stable_key", "name", F.array_distinct(F.array_compact(F.array(*texts))).alias("_texts"))
     sizes = [r["n"] for r in distinct.select(F.least(F.length("term"), F.lit(GRAM)).alias("n")).distinct().collect()]  # at most four
     matched = None
     for n in filter(None, sizes):
         own = distinct.where(F.length("term") == n if n < GRAM else F.length("term") >= GRAM).select("term", F.explode(_grams(F.col("term"), n)).alias("gram"))
-        index = held.select("stable_key", F.explode(_grams_of_all(F.col("_texts"), n)).alias("gram"))
-        index = kept(index.join(own.select("gram").distinct(), "gram", "left_semi"))
-        counted = own.join(index.groupBy("gram").agg(F.count("*").alias("c")), "gram", "left")
-        # a term with a gram that no text has is found nowhere: its count is 0, and the gram joins nothing
+        grams = held.select(F.explode("_texts").alias("text")).select(F.explode(_grams(F.col("text"), n)).alias("gram"))
+        counted = own.join(grams.groupBy("gram").agg(F.count("*").alias("c")), "gram", "left")
+        # a term with a gram that no text has is found nowhere: its count is 0, and the gram meets nothing
         rarest = counted.groupBy("term").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("g")).select("term", F.col("g.gram").alias("gram"))
-        near = rarest.join(index, "gram").select("term", "stable_key").join(held, "stable_key")
-        near = near.where(F.exists("_texts", lambda t: t.contains(F.col("term")))).select("term", "stable_key", "name")
+        cuts = kept(rarest.select("gram", F.expr("locate(gram, term)").alias("at"), F.length("term").alias("size"), F.substring("term", 1, n).alias("head")).distinct())
+        longest = cuts.agg(F.max("size")).first()[0] or 0
+        # of a text no more goes along with a gram than the longest term may reach to either side
+        i, left = F.col("i") + 1, F.greatest(F.lit(1), F.col("i") + 2 - longest)
+        placed = held.select("stable_key", "name", F.explode("_texts").alias("text")).select("stable_key", "name", "text", F.posexplode(_grams(F.col("text"), n, False)).alias("i", "gram"))
+        placed = placed.select("stable_key", "name", "gram", i.alias("i"), left.alias("left"), F.substring(F.col("text"), left, F.lit(2 * longest)).alias("around"))
+        start = F.col("i") - F.col("at") + 1
+        piece = F.substring(F.col("around"), start - F.col("left") + 1, F.col("size"))
+        met = placed.join(cuts, "gram").where((start >= 1) & F.startswith(piece, F.col("head")) & (F.length(piece) == F.col("size")))
+        near = met.select(piece.alias("term"), "stable_key", "name").join(distinct, "term").distinct()
         matched = near if matched is None else matched.union(near)
     if 0 in sizes:
         first = held.orderBy("name", "stable_key").limit(limit).select(F.lit("").alias("term"), "stable_key", "name")
@@ -65,13 +71,20 @@ def neighbourhoods(starts: DataFrame, asks: DataFrame, entities: DataFrame, rela
     along asks(question, direction, kinds, max_depth, max_nodes); without kinds along all.
 
     The walks go on together, a level at a time. A level takes a question's new neighbours in order of key as long as its
-    max_nodes lasts; one that is full is truncated and stops. Every level's neighbours are cut to what a question may
-    still take in parts before they meet, so a hub costs no task more than others.
+    max_nodes lasts; one that is full is truncated and stops. Of a node's neighbours along one direction and some kinds
+    only the first max_nodes + 1 by key can matter to a question: it holds max_nodes at most, so either there is room for
+    all others or one of these is over. So they are cut, once for all questions at the node, before questions meet them,
+    and a hub gives a question no more rows than that.
     """
     asks = kept(asks)
     known = entities.select("stable_key").distinct()
     bounds = asks.agg(F.max("max_depth"), F.max("max_nodes")).first()
     deepest, widest = bounds[0] or 0, bounds[1] or 0
+    ways = kept(asks.where("max_depth > 0").select("direction", "kinds").distinct().withColumn("way", F.monotonically_increasing_id()))
+    walking = kept(asks.join(ways, ["direction", "kinds"]).select("question", "way", "max_depth"))
+    used, any_kind = ways.agg(F.array_distinct(F.flatten(F.collect_set("kinds"))), F.count_if(F.size("kinds") == 0)).first()  # the kinds of edges
+    if not any_kind:
+        relationships = relationships.where(F.col("kind").isin(*used))
     edges = relationships.select("kind", F.col("source_key").alias("_from"), F.col("target_key").alias("stable_key"), F.lit("incoming").alias("_not"))
     edges = edges.union(relationships.select("kind", "target_key", "source_key", F.lit("outgoing")))
     empty = starts.select("question", "stable_key", F.lit(0).alias("depth")).where(F.lit(False))
@@ -89,9 +102,12 @@ def neighbourhoods(starts: DataFrame, asks: DataFrame, entities: DataFrame, rela
     nodes, full = level.where("not over").drop("over"), level.where("over").select("question")
     for depth in range(1, deepest + 1):
         frontier = level.where("not over").select("question", F.col("stable_key").alias("_from")).join(full, "question", "left_anti")
-        frontier = frontier.join(asks.where(F.col("max_depth") >= depth), "question")
-        step = frontier.join(edges, "_from").where((F.col("direction") != F.col("_not")) & ((F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind"))))
-        fresh = step.select("question", "stable_key").distinct().join(nodes, ["question", "stable_key"], "left_anti").join(known, "stable_key", "left_semi")
+        frontier = kept(frontier.join(walking.where(F.col("max_depth") >= depth), "question").select("question", "way", "_from"))
+        near = frontier.select("way", "_from").distinct().join(edges, "_from").join(ways, "way")
+        near = near.where((F.col("direction") != F.col("_not")) & ((F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind"))))
+        near = near.select("way", "_from", "stable_key").distinct().join(known, "stable_key", "left_semi").select("way", "_from", "stable_key")
+        step = frontier.join(top_per_key(near, ["way", "_from"], [F.col("stable_key")], widest + 1), ["way", "_from"])
+        fresh = step.select("question", "stable_key").distinct().join(nodes, ["question", "stable_key"], "left_anti")
         level = kept(admitted(fresh.select("question", "stable_key"), nodes, depth))
         if level.isEmpty():
             break

@@ -1,9 +1,14 @@
 """Root lookup and the walks of many questions, against plain versions."""
 
 import random
+import sys
+from pathlib import Path
 
 from factloom.operators import asking
 
+sys.path.insert(0, str(Path(__file__).parent))
+from plan_rows import most_rows  # noqa: E402
+
 
 def test_roots_equal_a_scan(spark):
     rng = random.Random(5)
@@ -69,3 +74,25 @@ def test_answers_without_chunks(spark):
     assert rows[3]["intent"] == "semantic_unknown" and rows[3]["degraded"] == ["Semantic projection is unavailable"]
     assert rows[4]["intent"] is None and rows[5]["confidence"] == "low"
     assert (rows[6]["answer"], rows[6]["confidence"]) == ("Confirmed structural evidence:\n- class app.Pool", "low")
+
+
+def test_a_term_of_common_grams_meets_only_what_holds_it(spark):
+    number = lambda n: f"lpad(bin({n}), 10, '0')"
+    entities = spark.range(3000).selectExpr("concat('k', id) stable_key", f"concat('Customer#', {number('id % 1000')}) name", "'segment=A' attributes")
+    terms = spark.range(1000).selectExpr("cast(id as int) question", f"concat('customer#', {number('id')}) term")
+    rows, most = most_rows(asking.find_roots(terms, entities, 2))
+    assert sorted((r["question"], r["place"]) for r in rows) == [(q, i) for q in range(1000) for i in (1, 2)]
+    assert most <= 3000 * (18 + 9)  # no more than the texts have grams
+
+
+def test_a_hub_gives_a_question_no_more_than_it_can_take(spark, monkeypatch):
+    seen, plain = [], asking.kept
+    monkeypatch.setattr(asking, "kept", lambda df: (seen.append(most_rows(df)[1]), plain(df))[1])
+    entities = spark.range(1500).selectExpr("concat('k', id) stable_key").union(spark.sql("select 'hub'"))
+    edges = spark.range(1500).selectExpr("'A' kind", "'hub' source_key", "concat('k', id) target_key")
+    starts = spark.range(400).selectExpr("cast(id as int) question", "'hub' stable_key")
+    asks = starts.selectExpr("question", "'outgoing' direction", "array('A') kinds", "2 max_depth", "4 max_nodes")
+    nodes, limits = asking.neighbourhoods(starts, asks, entities, edges)
+    first = sorted(f"k{i}" for i in range(1500))[:3]
+    assert sorted((r["stable_key"]) for r in nodes.where("question = 7").collect()) == ["hub", *first] and nodes.count() == 1600
+    assert limits.where("truncated").count() == 400 and max(seen) <= 10_000
