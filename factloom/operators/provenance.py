@@ -64,8 +64,8 @@ def closest_enclosing(places: DataFrame, declarations: DataFrame) -> DataFrame:
     sizes = blocks.groupBy().agg(F.array_sort(F.collect_set("size"))).first()[0]  # no more than a line number has bits
     asked = places.select("path", F.col("line").cast("long").alias("line")).distinct()
     asked = asked.select("path", "line", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).withColumn("block", F.expr("shiftright(line, size)"))
-    owner = asked.join(blocks, ["path", "size", "block"]).groupBy("path", "line").agg(F.min("w").alias("w")).select("path", "line", F.col("w.stable_key").alias("owner"))
-    return places.select("id", "path", F.col("line").cast("long").alias("line")).join(owner, ["path", "line"], "left").select("id", "owner")
+    owner = asked.join(blocks.hint("merge"), ["path", "size", "block"]).groupBy("path", "line").agg(F.min("w").alias("w")).select("path", "line", F.col("w.stable_key").alias("owner"))
+    return places.select("id", "path", F.col("line").cast("long").alias("line")).join(owner.hint("merge"), ["path", "line"], "left").select("id", "owner")
 
 
 def root_lookup(entities: DataFrame, term: str, limit: int = 5) -> DataFrame:

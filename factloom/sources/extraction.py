@@ -40,11 +40,11 @@ def extract(artifacts: DataFrame, repository: str) -> Extraction:
     references = references.union(scanners.calls(rows).select(F.lit("CALLS"), "path", "line", "target")).union(scanners.imports(rows).select(F.lit("IMPORTS"), "path", "line", "target"))
     # a declaration's own line isn't a call of it
     own = entities.select("path", F.col("start_line").alias("line"), F.col("name").alias("target"))
-    references = references.join(own, ["path", "line", "target"], "left_anti").distinct()
+    references = references.join(own.hint("merge"), ["path", "line", "target"], "left_anti").distinct()
     references = references.withColumn("id", F.sha2(F.concat_ws("\x1f", "kind", "path", F.col("line").cast("string"), "target"), 256))
     owners = closest_enclosing(references.select("id", "path", "line"), entities.where(~F.col("kind").isin("package", "field", "test")).select("stable_key", "path", "start_line", "end_line"))
     answers = entities.where(~F.col("kind").isin("package", "field", "test", "constructor")).groupBy("name").agg(F.count("*").alias("candidates"), F.min("stable_key").alias("target_key"))
-    named = references.withColumn("name", F.substring_index("target", ".", -1)).join(answers, "name", "left").join(owners, "id")
+    named = references.withColumn("name", F.substring_index("target", ".", -1)).join(answers.hint("merge"), "name", "left").join(owners.hint("merge"), "id")
     known = (F.col("candidates") == 1) & F.col("owner").isNotNull() & (F.col("owner") != F.col("target_key"))
     relationships = named.where(known).select("id", "kind", F.col("owner").alias("source_key"), "target_key", F.lit(BY_NAME).alias("confidence"), F.lit("name").alias("resolution"))
     unresolved = named.where(F.coalesce("candidates", F.lit(0)) != 1).select("kind", "path", "line", "target", F.coalesce("candidates", F.lit(0)).alias("candidates"))
@@ -57,7 +57,8 @@ def incremental(artifacts: DataFrame, changes: DataFrame, relationships: DataFra
     """The artifacts to extract anew after changes(path, change): changed ones, and those with a relationship to an
     entity of a changed or deleted file."""
     changed = changes.select("path").distinct()
-    moved = entities.join(changed, "path", "left_semi").select(F.col("stable_key").alias("target_key"))
-    sources = relationships.join(moved, "target_key", "left_semi").select(F.col("source_key").alias("stable_key"))
-    touched = entities.join(sources.distinct(), "stable_key", "left_semi").select("path")
-    return artifacts.join(changed.union(touched).distinct(), "path", "left_semi")
+    # all of these grow with the files: merged, as a driver can't hold what a broadcast would send through it
+    moved = entities.join(changed.hint("merge"), "path", "left_semi").select(F.col("stable_key").alias("target_key"))
+    sources = relationships.join(moved.hint("merge"), "target_key", "left_semi").select(F.col("source_key").alias("stable_key"))
+    touched = entities.join(sources.distinct().hint("merge"), "stable_key", "left_semi").select("path")
+    return artifacts.join(changed.union(touched).distinct().hint("merge"), "path", "left_semi")

@@ -7,7 +7,9 @@ outside of parentheses. A declaration is a statement that reads like one where i
 in a type's body), reaches from its first token to the brace that closes its body, and is owned by the narrowest body
 around it: an equi-join on bins of token numbers.
 
-Everything is windows and joins of built-in functions. A window has one file's tokens, a join row one bin's.
+Everything is windows and joins of built-in functions. A window has one file's tokens, a join row one bin's. Joins of
+tables that grow with the files are merged, not broadcast: Spark's estimates of what is read off a text, and the
+compressed sizes that it sees at run time, are many times too small for a driver to hold.
 """
 
 from __future__ import annotations
@@ -61,7 +63,8 @@ def _by_language(patterns: dict[str, str], make) -> Column:
 def tokens(artifacts: DataFrame) -> DataFrame:
     """path, language, pos, token, line, depth and opener (of the innermost bracket around it, for a closing bracket
     its own) of artifacts(path, language, content). depth counts the brackets around a token."""
-    rows = artifacts.select("path", "language", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
+    # files are dealt by path before they are cut: their tokens, windows and statements stay where they are
+    rows = artifacts.repartition("path").select("path", "language", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     t = F.col("token")
     before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(t.isin(*_OPEN), 1).when(t.isin(*_CLOSE), -1).otherwise(0)
@@ -88,14 +91,20 @@ def statements(artifacts: DataFrame) -> DataFrame:
     ends = ((t == "{") & ~F.col("quiet")) | ((t == "}") & ~closes_quiet) | ((t == ";") & (inner != "(")) | line_ends
     before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_ends", ends).withColumn("_n", F.coalesce(F.sum(F.col("_ends").cast("int")).over(before), F.lit(0)))
+    # what closes an opening bracket is the next closing one of its level
+    behind = Window.partitionBy("path", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    closer = F.last(F.when(t.isin(*_CLOSE), F.struct("token", "pos", "line")), True).over(behind)
+    whole = Window.partitionBy("path")
+    rows = rows.withColumns({"_closer": closer, "_end": F.max("pos").over(whole), "_end_line": F.max("line").over(whole)})
+    closed = (t == "{") & (F.col("_closer.token") == "}")
     told = ~F.col("_ends") & ~t.rlike(r"^/[/*]")
     shown = told & ~t.rlike(r"^\s*$")
-    last = F.max_by(F.struct("token", "pos", "line"), F.when(F.col("_ends"), F.col("pos")))
+    last = F.max_by(F.struct("token", "pos", "line", F.when(closed, F.col("_closer.pos")).alias("close"), F.when(closed, F.col("_closer.line")).alias("close_line")), F.when(F.col("_ends"), F.col("pos")))
     one = rows.groupBy("path", "language", "_n").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(told, F.struct("pos", "token")))), lambda x: x["token"]), "").alias("head"),
         F.min_by(F.struct("pos", "line", F.col("opener.pos").alias("parent")), F.when(shown, F.col("pos"))).alias("_first"),
-        last.alias("_last"),
-    )
+        last.alias("_last"), F.max("_end").alias("_end"), F.max("_end_line").alias("_end_line"),
+    )
     one = one.withColumn("head", F.trim(F.regexp_replace("head", r"\s+", " "))).where("head <> ''")
     one = one.withColumn("_alone", F.trim(F.regexp_replace("head", _NOTE, "")) == "")
     order = Window.partitionBy("path").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,14 +114,12 @@ def statements(artifacts: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_alone"), F.struct("_n", "head")))), lambda x: x["head"]), " ").alias("_notes"),
         F.min("_first.line").alias("line"), F.min("_first.pos").alias("start"), F.max(F.when(own, F.col("head"))).alias("head"),
         F.max(F.when(own, F.col("_first.parent"))).alias("parent"), F.max(F.when(own, F.col("_last"))).alias("_last"),
+        F.max("_end").alias("_end"), F.max("_end_line").alias("_end_line"),
     ).where("head is not null")
     lead = F.regexp_extract("head", rf"^(?:{_MODIFIERS}{_NOTE}\s*)+", 0)
     notes = F.regexp_extract_all(F.concat_ws(" ", "_notes", lead), F.lit(_NOTE), F.lit(0))
     bare = F.trim(F.regexp_replace(F.regexp_replace("head", _NOTE, " "), r"\s+", " "))
-    joined = joined.select("path", "language", bare.alias("head"), F.col("head").alias("text"), "line", "start", F.col("_last.token").alias("ends"), F.col("_last.pos").alias("at"), F.col("_last.line").alias("last_line"), "parent", notes.alias("notes"))
-    pairs = rows.where("token = '}' and opener.token = '{'").select("path", F.col("opener.pos").alias("at"), F.col("pos").alias("_close"), F.col("line").alias("_close_line"))
-    size = rows.groupBy("path").agg(F.max("pos").alias("_end"), F.max("line").alias("_end_line"))
-    joined = joined.join(pairs, ["path", "at"], "left").join(size, "path")
+    joined = joined.select("path", "language", bare.alias("head"), F.col("head").alias("text"), "line", "start", F.col("_last.token").alias("ends"), F.col("_last.pos").alias("at"), F.col("_last.line").alias("last_line"), "parent", notes.alias("notes"), F.col("_last.close").alias("_close"), F.col("_last.close_line").alias("_close_line"), "_end", "_end_line")
     body = F.col("ends") == "{"
     close = F.when(body, F.coalesce("_close", F.col("_end") + 1))
     end_line = F.when(body, F.coalesce("_close_line", "_end_line")).otherwise(F.coalesce("last_line", "_end_line"))
@@ -137,7 +144,7 @@ def _read(rows: DataFrame, types: DataFrame) -> DataFrame:
     head, language = F.col("head"), F.col("language")
     inside = types.select("path", F.col("open").alias("parent"), F.col("name").alias("_type"))
     columns = rows.columns
-    rows = rows.join(inside, ["path", "parent"], "left")
+    rows = rows.join(inside.hint("merge"), ["path", "parent"], "left")
     member, top = F.col("_type").isNotNull(), F.col("parent").isNull()
     plain = ~head.rlike(rf"^(?:{'|'.join(STATEMENTS)})\b(?!\s+(?:class|interface|function|const|abstract|default|async|enum))")
     group = lambda patterns, n: _by_language(patterns, lambda p: F.regexp_extract(head, p, n))
@@ -166,7 +173,7 @@ def enclosing(places: DataFrame, bodies: DataFrame) -> DataFrame:
     bin_of = lambda c: F.floor(F.col(c) / BIN)
     binned = bodies.select("path", "open", "close", F.struct("open", "id", "kind", "name").alias("_body"), F.explode(F.sequence(bin_of("open"), bin_of("close"))).alias("_bin"))
     mine = places.select("id", "path", "at", bin_of("at").alias("_bin"))
-    held = mine.join(binned, ["path", "_bin"]).where("at > open and at < close")
+    held = mine.join(binned.hint("merge"), ["path", "_bin"]).where("at > open and at < close")
     return held.groupBy("id").agg(F.array_sort(F.collect_list("_body")).alias("around"))
 
 
@@ -186,13 +193,14 @@ def declared(artifacts: DataFrame | None, statements_: DataFrame | None = None)
     types = types.where((F.col("name") != "") & ((F.col("ends") == "{") | ((language == "kotlin") & head.rlike(rf"^{_MODIFIERS}(?:class|interface|object)\s"))))
     types = types.withColumn("kind", F.when(F.col("kind").isin("enum", "record", "class"), "class").when(F.col("kind").isin("@interface", "interface"), "interface").otherwise(F.col("kind"))).withColumn("arity", F.lit(None).cast("int"))
     package = statements_.where(head.rlike(PACKAGE)).groupBy("path").agg(F.min_by(F.regexp_extract(head, PACKAGE, 1), "start").alias("package"))
-    rest = _read(statements_.join(types.select("path", "start"), ["path", "start"], "left_anti"), types)
+    rest = _read(statements_.join(types.select("path", "start").hint("merge"), ["path", "start"], "left_anti"), types)
     packages = statements_.where(head.rlike(PACKAGE)).withColumns({"kind": F.lit("package"), "name": F.regexp_extract(head, PACKAGE, 1), "arity": F.lit(None).cast("int")})
-    found = types.unionByName(rest).unionByName(packages).join(package, "path", "left")
-    found = found.withColumn("id", F.concat_ws("#", "path", F.col("start").cast("string"), "kind", "name"))
+    found = types.unionByName(rest).unionByName(packages).join(package.hint("merge"), "path", "left")
+    # three readers follow, and the patterns are what costs
+    found = kept(found.withColumn("id", F.concat_ws("#", "path", F.col("start").cast("string"), "kind", "name")))
     bodies = found.where("open is not null").select("id", "path", "open", "close", "kind", "name")
     around = enclosing(found.select("id", "path", F.col("start").alias("at")), bodies)
-    found = found.join(around, "id", "left")
+    found = found.join(around.hint("merge"), "id", "left")
     owners = F.filter("around", lambda x: x["kind"].isin("class", "interface", "object"))
     chain = F.concat(F.transform(F.coalesce(owners, F.array().cast("array<struct<open:int,id:string,kind:string,name:string>>")), lambda x: x["name"]), F.array("name"))
     qualified = F.when(F.col("kind") == "package", F.col("name")).otherwise(F.concat_ws(".", "package", F.array_join(chain, ".")))

@@ -18,3 +18,19 @@ def most_rows(df):
         most = max(most, found.get().value() if found.isDefined() else 0)
         left += [plan.children().apply(i) for i in range(plan.children().size())]
     return rows, most
+
+
+def operators(df):
+    """The names of the operators of df's plan, after it has run."""
+    df.collect()
+    names, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        plan = left.pop()
+        names.append(plan.getClass().getSimpleName())
+        if names[-1] == "AdaptiveSparkPlanExec":
+            left.append(plan.executedPlan())
+        elif names[-1].endswith("QueryStageExec"):
+            left.append(plan.plan())
+        else:
+            left += [plan.children().apply(i) for i in range(plan.children().size())]
+    return names
