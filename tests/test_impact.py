@@ -1,8 +1,13 @@
 import random
+import sys
+from pathlib import Path
 
 import pytest
 from factloom.operators import impact
 
+sys.path.insert(0, str(Path(__file__).parent))
+from plan_rows import operators  # noqa: E402
+
 
 def queue(relationships, entities, roots, max_depth, max_fan_out, min_confidence, max_nodes):
     """A priority queue, plainly: strongest first, then the least key."""
@@ -52,3 +57,11 @@ def test_names_of_any_length_match(spark):
     names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
     found = lambda n: {r["stable_key"] for r in impact.recommend_tests(tests, none, n).collect()}
     assert found(names("db")) == {"t1"} and found(names("x", "")) == {"t2"} and found(names("o")) == {"t1", "t3"} and found(names()) == set()
+
+
+def test_the_strongest_steps_take_one_shuffle(spark):
+    edges = spark.range(300).selectExpr("concat('r', id) id", "'CALLS' kind", "'hub' source_key", "concat('k', id) target_key", "cast(0.9 as double) confidence")
+    steps = impact.weighted_steps(edges, 5)
+    names = operators(steps)
+    assert names.count("ShuffleExchangeExec") == 1 and "WindowGroupLimitExec" in names
+    assert sorted(r["id"] for r in steps.where("node = 'hub'").collect()) == ["r0", "r1", "r10", "r100", "r101"]
