@@ -34,3 +34,16 @@ def operators(df):
         else:
             left += [plan.children().apply(i) for i in range(plan.children().size())]
     return names
+
+
+def shuffled_rows(spark, run):
+    """How many rows all stages of run() wrote for shuffles."""
+
+    def written():
+        gateway = spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    run()
+    return sum(n for i, n in written().items() if i not in before)

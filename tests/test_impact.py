@@ -6,7 +6,7 @@ import pytest
 from factloom.operators import impact
 
 sys.path.insert(0, str(Path(__file__).parent))
-from plan_rows import operators  # noqa: E402
+from plan_rows import operators, shuffled_rows  # noqa: E402
 
 
 def queue(relationships, entities, roots, max_depth, max_fan_out, min_confidence, max_nodes):
@@ -65,3 +65,14 @@ def test_the_strongest_steps_take_one_shuffle(spark):
     names = operators(steps)
     assert names.count("ShuffleExchangeExec") == 1 and "WindowGroupLimitExec" in names
     assert sorted(r["id"] for r in steps.where("node = 'hub'").collect()) == ["r0", "r1", "r10", "r100", "r101"]
+
+
+def test_no_level_shuffles_the_steps_again(spark):
+    edges = spark.range(4000).selectExpr("concat('r', id) id", "'CALLS' kind", "concat('n', id) source_key", "concat('n', id + 1) target_key", "cast(0.9 as double) confidence")
+    roots = spark.createDataFrame([("n9",)], "stable_key string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for run in (impact.affected, impact.evidence_paths):
+            assert shuffled_rows(spark, lambda: run(edges, roots, min_confidence=0.1).collect()) < 2 * 8000  # noqa: B023
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
