@@ -23,9 +23,14 @@ def owned(entities: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def structural_references(keys: DataFrame, provenance: DataFrame, entities: DataFrame, artifacts: DataFrame) -> DataFrame:
     """stable_key, name, path, start_line, end_line of keys(stable_key), with n, the place in order of (path, start_line)
-    within each stable_key."""
-    named = entities.select("stable_key", "name").join(keys.select("stable_key").distinct(), "stable_key", "left_semi")
-    return named.join(provenance.select("stable_key", "artifact_id", "start_line", "end_line"), "stable_key").join(artifacts.select("artifact_id", "path"), "artifact_id").drop("artifact_id")
+    within each stable_key.
+
+    The keys meet the places, not the entities: Spark asks each part of a union for all keys again, in one task. What
+    grows with the files is merged, never broadcast.
+    """
+    places = provenance.select("stable_key", "artifact_id", "start_line", "end_line").join(artifacts.select("artifact_id", "path").hint("merge"), "artifact_id").drop("artifact_id")
+    asked = places.join(keys.select("stable_key").hint("merge"), "stable_key", "left_semi")
+    return entities.select("stable_key", "name").join(asked.hint("merge"), "stable_key").select("stable_key", "name", "start_line", "end_line", "path")
 
 
 def revisions_of(revisions: DataFrame, repositories: DataFrame) -> DataFrame:

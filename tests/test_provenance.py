@@ -2,10 +2,10 @@ import random
 import sys
 from pathlib import Path
 
-from factloom.operators.provenance import closest_enclosing
+from factloom.operators.provenance import closest_enclosing, structural_references
 
 sys.path.insert(0, str(Path(__file__).parent))
-from plan_rows import most_rows  # noqa: E402
+from plan_rows import most_rows, operators  # noqa: E402
 
 
 def _plain(places, declarations):
@@ -31,3 +31,15 @@ def test_a_place_meets_no_row_for_each_declaration_around_it(spark):
     rows, most = most_rows(closest_enclosing(places, declarations))
     assert len(rows) == 2000 and {r["owner"] for r in rows} == {"d39"}
     assert most <= 20 * 2000
+
+
+def test_keys_of_a_union_are_asked_for_once(spark):
+    part = lambda i: spark.range(20).selectExpr(f"concat('k{i}:', id) stable_key", "concat('n', id) name")
+    entities = part(0).union(part(1)).union(part(2)).union(part(3))
+    places = entities.selectExpr("stable_key", "cast(substr(stable_key, 4) as long) artifact_id", "1 start_line", "2 end_line").where("artifact_id < 15")
+    artifacts = spark.range(10).selectExpr("id artifact_id", "concat('f', id) path")
+    found = structural_references(entities.where("stable_key like 'k1:%'").union(part(1)), places, entities, artifacts)
+    names = operators(found)
+    rows = sorted((r["stable_key"], r["name"], r["path"]) for r in found.collect())
+    assert rows == sorted((f"k1:{i}", f"n{i}", f"f{i}") for i in range(10))
+    assert not [n for n in names if n.startswith("Broadcast")]
