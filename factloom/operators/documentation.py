@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,24 +40,32 @@ def _sections(text: str) -> list[tuple[int, str, list[str], int, int, str]]:
     return out
 
 
+def _batch(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def parse_markdown(pages: DataFrame) -> DataFrame:
     """path, level, title, heading_path, line_start, line_end, body, occurrence for pages(path, content).
 
     A page is one row of a scan: fences and the heading stack need its lines in order, nothing beyond it.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    text, number = pa.string(), pa.int32()
+    schema = pa.schema({"path": text, "level": number, "title": text, "heading_path": pa.list_(text), "line_start": number, "line_end": number, "body": text, "occurrence": number}.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for path, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 seen: dict[str, int] = {}
                 for level, title, heading, start, end, body in _sections(content or ""):
                     key = "/".join(heading).lower()
                     seen[key] = seen.get(key, -1) + 1
                     rows.append((path, level, title, heading, start, end, body, seen[key]))
-            yield pd.DataFrame(rows, columns=["path", "level", "title", "heading_path", "line_start", "line_end", "body", "occurrence"])
+            yield _batch(rows, schema)
 
-    return pages.select("path", "content").mapInPandas(run, "path string, level int, title string, heading_path array<string>, line_start int, line_end int, body string, occurrence int")
+    return pages.select("path", "content").mapInArrow(run, "path string, level int, title string, heading_path array<string>, line_start int, line_end int, body string, occurrence int")
 
 
 #: Claim patterns; the configuration pattern ignores case on purpose, so it also takes plain words.
@@ -75,10 +83,13 @@ def extract_claims(sections: DataFrame) -> DataFrame:
     """path, line, kind, subject, value, confidence, ordinal: endpoint (METHOD, path), configuration (key, value),
     source_link (path), entity (name) and command, from parse_markdown's sections."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = set()
-            for path, level, start, body in zip(pdf["path"], pdf["level"], pdf["line_start"], pdf["body"], strict=True):
+    text = pa.string()
+    schema = pa.schema({"path": text, "line": pa.int32(), "kind": text, "subject": text, "value": text, "confidence": pa.float64(), "ordinal": pa.int32()}.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {}  # in order, once each
+            for path, level, start, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 first = start if level == 0 else start + 1
                 breaks = [m.start() for m in re.finditer("\n", body)]
                 for order, (kind, confidence, pattern) in enumerate(CLAIMS):
@@ -96,10 +107,10 @@ def extract_claims(sections: DataFrame) -> DataFrame:
                             subject, value = m[1].split("#")[0], None
                         else:
                             subject, value = m[1].removesuffix("()"), None
-                        rows.add((path, line, kind, subject, value, confidence, order))
-            yield pd.DataFrame(sorted(rows, key=str), columns=["path", "line", "kind", "subject", "value", "confidence", "ordinal"])
+                        rows[path, line, kind, subject, value, confidence, order] = None
+            yield _batch(rows, schema)
 
-    return sections.select("path", "level", "line_start", "body").mapInPandas(run, "path string, line int, kind string, subject string, value string, confidence double, ordinal int")
+    return sections.select("path", "level", "line_start", "body").mapInArrow(run, "path string, line int, kind string, subject string, value string, confidence double, ordinal int")
 
 
 def _finding(df: DataFrame, kind: str, severity: str, status: str = "confirmed", suggestion: str | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Documents written from facts, and reachability at any depth."""
 
-from factloom.operators import graph, summary
+from factloom.operators import documentation, graph, summary
 
 ENTITY = "kind string, name string, qualified_name string, confidence double, attributes string"
 
@@ -34,3 +34,14 @@ def test_reachability_ends_with_the_graph(spark):
     found = {r["stable_key"]: r["depth"] for r in graph.reachable(edges, start, merge_every=4).collect()}
     assert found == {f"n{i}": i for i in range(12)}
     assert graph.reachable(edges, start, max_depth=2).count() == 3
+
+
+def test_pages_are_read_once_for_gaps_and_health(spark, monkeypatch):
+    from factloom import queries as Q
+
+    seen, gaps = [], documentation.detect_gaps
+    monkeypatch.setattr(documentation, "detect_gaps", lambda entities, claims: seen.append(claims) or gaps(entities, claims))
+    assert Q.documentation_health(spark, "/root/testdata/sf0.001").count() == 1
+    assert "mapin" not in seen.pop()._jdf.queryExecution().optimizedPlan().toString().lower()
+    monkeypatch.setattr(documentation, "compare_claims", None)  # gaps need no comparison, which reads all pages too
+    assert Q.documentation_gaps(spark, "/root/testdata/sf0.001").count() > 0
