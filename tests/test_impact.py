@@ -2,7 +2,10 @@ import random
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
+from factloom import catalog_queries  # noqa: F401
+from factloom import queries as Q
 from factloom.operators import impact
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -76,3 +79,19 @@ def test_no_level_shuffles_the_steps_again(spark):
             assert shuffled_rows(spark, lambda: run(edges, roots, min_confidence=0.1).collect()) < 2 * 8000  # noqa: B023
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_evidence_paths_follow_every_step_of_a_hub(spark):
+    edges = spark.range(60).selectExpr("concat('r', id) id", "'CALLS' kind", "concat('k', id) source_key", "'hub' target_key", "cast(0.9 as double) confidence")
+    found = impact.evidence_paths(edges, spark.createDataFrame([("hub",)], "stable_key string"), max_depth=1).collect()
+    assert {r["stable_key"] for r in found} == {"hub", *(f"k{i}" for i in range(60))}
+
+
+def test_evidence_paths_of_the_tables_lack_nothing(spark):
+    sf = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("region", "nation", "supplier", "customer", "orders", "part", "lineitem"):
+        duck.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = dict(duck.sql(f"{Q._E} {Q._affected_sql(3, 10**9, 0.2)} SELECT stable_key, confidence FROM best").fetchall())
+    got = {r["stable_key"]: r["confidence"] for r in Q.QUERIES["evidence_paths"](spark, sf).collect()}
+    assert got == pytest.approx(want)
