@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.plans import kept
@@ -23,14 +23,25 @@ def owned(entities: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def structural_references(keys: DataFrame, provenance: DataFrame, entities: DataFrame, artifacts: DataFrame) -> DataFrame:
     """stable_key, name, path, start_line, end_line of keys(stable_key), with n, the place in order of (path, start_line)
-    within each stable_key.
+    within each stable_key; of equal ones the one that ends first, then the least name. The rows come in order of (path,
+    start_line), then key and n; what has no line comes last.
 
     The keys meet the places, not the entities: Spark asks each part of a union for all keys again, in one task. What
-    grows with the files is merged, never broadcast.
+    grows with the files is merged, never broadcast. Places are counted in ranges first and inside a range then, so that
+    no key's places are ever in one task.
     """
     places = provenance.select("stable_key", "artifact_id", "start_line", "end_line").join(artifacts.select("artifact_id", "path").hint("merge"), "artifact_id").drop("artifact_id")
     asked = places.join(keys.select("stable_key").hint("merge"), "stable_key", "left_semi")
-    return entities.select("stable_key", "name").join(asked.hint("merge"), "stable_key").select("stable_key", "name", "start_line", "end_line", "path")
+    found = entities.select("stable_key", "name").join(asked.hint("merge"), "stable_key").select("stable_key", "name", "start_line", "end_line", "path")
+    order = [F.asc_nulls_last(c) for c in ("path", "start_line", "end_line", "name")]
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(found.repartitionByRange(parts, F.asc("stable_key"), *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("stable_key", "_range").count()
+    before = counts.select("stable_key", "_range", (F.sum("count").over(Window.partitionBy("stable_key").orderBy("_range")) - F.col("count")).alias("_before"))
+    before = before.where("_before > 0")  # of keys in more than one range, as many as ranges at most
+    inside = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("stable_key", "_range").orderBy(*order)))
+    numbered = inside.join(before.hint("merge"), ["stable_key", "_range"], "left").withColumn("n", F.coalesce("_before", F.lit(0)) + F.col("_n"))
+    return numbered.select("stable_key", "name", "path", "start_line", "end_line", "n").orderBy(*order[:2], "stable_key", "n")
 
 
 def revisions_of(revisions: DataFrame, repositories: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 import sys
 from pathlib import Path
 
+from factloom import catalog_queries  # noqa: F401
+from factloom import queries as Q
 from factloom.operators.provenance import closest_enclosing, structural_references
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -43,3 +45,26 @@ def test_keys_of_a_union_are_asked_for_once(spark):
     rows = sorted((r["stable_key"], r["name"], r["path"]) for r in found.collect())
     assert rows == sorted((f"k1:{i}", f"n{i}", f"f{i}") for i in range(10))
     assert not [n for n in names if n.startswith("Broadcast")]
+
+
+def test_references_are_numbered_in_order_of_path_and_line(spark):
+    rng = random.Random(3)
+    files = {i: rng.choice("fghij") + str(i % 7) for i in range(40)}
+    rows = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(30)}", rng.randrange(50), line := rng.choice([None, *range(12)]), None if line is None else line + rng.randrange(4)) for _ in range(900)]
+    names = {k: "n" + k for k, *_ in rows if k != "k7"}
+    frame = spark.createDataFrame
+    places = frame(rows, "stable_key string, artifact_id int, start_line int, end_line int").repartition(5)
+    keys = frame([(k,) for k in {k for k, *_ in rows} - {"k3"}], "stable_key string")
+    found = structural_references(keys, places, frame(list(names.items()), "stable_key string, name string"), frame(list(files.items()), "artifact_id int, path string"))
+    last = lambda x: (x is None, x or 0)
+    want, n = [], {}
+    for k, a, s, e in sorted(((k, files[a], s, e) for k, a, s, e in rows if a in files and k in names and k != "k3"), key=lambda r: (r[1], last(r[2]), r[0], last(r[3]))):
+        n[k] = n.get(k, 0) + 1
+        want.append((k, names[k], a, s, e, n[k]))
+    got = [(r["stable_key"], r["name"], r["path"], r["start_line"], r["end_line"], r["n"]) for r in found.collect()]
+    assert got == want and max(n.values()) > 300
+
+
+def test_the_query_of_references_keeps_their_order(spark):
+    got = [(r["path"], r["start_line"]) for r in Q.QUERIES["structural_references"](spark, "/root/testdata/sf0.001").collect()]
+    assert got == sorted(got) and len(set(got)) > 100
