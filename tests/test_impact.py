@@ -1,10 +1,12 @@
 import random
 import sys
+import time
 from pathlib import Path
 
 import duckdb
 import pytest
 from factloom import catalog_queries  # noqa: F401
+from factloom import plans
 from factloom import queries as Q
 from factloom.operators import impact
 
@@ -81,6 +83,42 @@ def test_no_level_shuffles_the_steps_again(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def shuffles(spark, run):
+    """How many rows each stage of run() wrote for a shuffle."""
+
+    def written():
+        gateway = spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    run()
+    return [n for i, n in sorted(written().items()) if i not in before]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_kept_tables_leave_no_shuffles(spark):
+    before = shuffle_files(spark)
+    rows = spark.range(100).selectExpr("concat('n', id) node", "id")
+    both = [plans.kept(rows.repartition(3, "id")), plans.kept_by([rows, rows], "node")]
+    for _ in range(50):  # files go in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and [t.count() for t in both] == [100, 200]
+
+
+def test_both_directions_are_written_in_turn_and_meet_by_bucket(spark):
+    edges = spark.range(4000).selectExpr("concat('r', id) id", "'CALLS' kind", "concat('n', id) source_key", "concat('n', id + 1) target_key", "cast(0.9 as double) confidence")
+    roots = spark.createDataFrame([("n9",)], "stable_key string")
+    wide = [r for r in shuffles(spark, lambda: impact.evidence_paths(edges, roots, max_depth=1).collect()) if r > 1000]
+    assert wide == [4000, 4000]
+
+
 def test_evidence_paths_follow_every_step_of_a_hub(spark):
     edges = spark.range(60).selectExpr("concat('r', id) id", "'CALLS' kind", "concat('k', id) source_key", "'hub' target_key", "cast(0.9 as double) confidence")
     found = impact.evidence_paths(edges, spark.createDataFrame([("hub",)], "stable_key string"), max_depth=1).collect()
