@@ -119,6 +119,17 @@ def test_both_directions_are_written_in_turn_and_meet_by_bucket(spark):
     assert wide == [4000, 4000]
 
 
+def test_best_first_shuffles_steps_once(spark):
+    edges = spark.range(4000).selectExpr("concat('r', id) id", "'CALLS' kind", "concat('n', id) source_key", "concat('n', id + 1) target_key", "cast(0.9 as double) confidence")
+    entities = spark.range(4001).selectExpr("concat('n', id) stable_key")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        wide = shuffles(spark, lambda: impact.best_first(edges, entities, spark.createDataFrame([("n9",)], "stable_key string")))
+        assert sum(r > 7000 for r in wide) == 2  # the steps by node, the neighbours that may be strange
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_evidence_paths_follow_every_step_of_a_hub(spark):
     edges = spark.range(60).selectExpr("concat('r', id) id", "'CALLS' kind", "concat('k', id) source_key", "'hub' target_key", "cast(0.9 as double) confidence")
     found = impact.evidence_paths(edges, spark.createDataFrame([("hub",)], "stable_key string"), max_depth=1).collect()
