@@ -2,8 +2,8 @@
 
 A reference asks for a name; what may answer to it is a qualified name (its own, or one that is imported, also by an
 alias) or a name in a package (its own, or one imported whole). Questions and symbols are turned into such keys and meet
-in one equi-join; of equal questions of a file one is asked. What is left of the answers after kind, number of
-parameters and owner is resolved if it is one, ambiguous if more.
+in one equi-join; of equal questions of a file one is asked, and one for all files that see a name by the same keys. What
+is left of the answers after kind, number of parameters and owner is resolved if it is one, ambiguous if more.
 """
 
 from __future__ import annotations
@@ -59,21 +59,26 @@ def resolve(references: DataFrame, known: DataFrame, imports_: DataFrame) -> Dat
     whole = imports_.where("wildcard").select("path", F.col("qualified_name").alias("_in")).distinct()
     wild = asked.join(whole, "path").select("q", key(3, "p", F.concat_ws("#", "_in", "name")).alias("k"))
     questions = own.union(named).union(wild).select("q", "k.*").groupBy("q", "key").agg(F.min("rank").alias("rank"))
-    answers = known.select("id", "kind", F.col("name").alias("_name"), "qualified_name", F.col("owner_name").alias("_owner"), F.col("arity").alias("_arity"), F.explode(F.array(F.concat(F.lit("q:"), "qualified_name"), F.concat(F.lit("p:"), F.concat_ws("#", "package", "name")))).alias("key"))
-    met = questions.join(answers, "key").join(asked, "q")
+    known = kept(known.select("id", "kind", F.col("name").alias("_name"), "qualified_name", F.col("owner_name").alias("_owner"), F.col("arity").alias("_arity"), "package"))
+    answers = known.select("id", "kind", "_name", "qualified_name", "_owner", "_arity", F.explode(F.array(F.concat(F.lit("q:"), "qualified_name"), F.concat(F.lit("p:"), F.concat_ws("#", "package", "_name")))).alias("key"))
+    # a form is a question without its file: files that see a name by the same keys get the same answers, found once
+    heard = questions.join(answers.select("key").distinct(), "key", "left_semi").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "key"))).alias("keys"))
+    form = ["name", "wants", "owner_name", "arity", "keys"]
+    shaped = kept(asked.join(heard, "q").withColumn("form", F.sha2(F.to_json(F.struct(*form)), 256)))
+    met = shaped.select("form", *form).dropDuplicates(["form"]).select("form", *form[:-1], F.inline("keys")).join(answers, "key")
     wanted = F.lit(False)
     for what, kinds in KINDS.items():
         wanted = wanted | ((F.col("wants") == what) & F.col("kind").isin(*kinds))
     fits = F.col("arity").isNull() | F.col("_arity").isNull() | (F.col("arity") == F.col("_arity"))
     owned = F.col("owner_name").isNull() | F.coalesce(F.col("_owner") == F.col("owner_name"), F.lit(False)) | (_last(F.coalesce("_owner", F.lit(""))) == _last(F.col("owner_name")))
     is_named = (F.col("_name") == F.col("name")) | (F.col("qualified_name") == F.col("name")) | (F.col("rank") == 4)
-    found = met.where(wanted & fits & owned & is_named).groupBy("q", "id").agg(F.min("rank").alias("rank"))
-    found = found.groupBy("q").agg(F.array_sort(F.collect_list("id")).alias("candidates"), F.min("rank").alias("rank"))
+    found = met.where(wanted & fits & owned & is_named).groupBy("form", "id").agg(F.min("rank").alias("rank"))
+    found = found.groupBy("form").agg(F.array_sort(F.collect_list("id")).alias("candidates"), F.min("rank").alias("rank"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in columns]
-    answered = asked.join(found, "q").select(*columns, "candidates", "rank").alias("a")
-    out = references.alias("r").join(answered, same, "left")
-    empty = F.coalesce("a.candidates", F.array().cast("array<string>"))
-    return out.select("r.ref", empty.alias("candidates"), F.get(F.array(*map(F.lit, RANKS)), F.col("a.rank")).alias("rank"), F.when(F.size(empty) == 1, empty[0]).alias("target"))
+    formed = references.alias("r").join(shaped.select(*columns, "form").alias("a"), same, "left").select("r.ref", F.coalesce("a.form", F.concat(F.lit("-"), F.col("r.ref").cast("string"))).alias("form"))
+    out = formed.join(found.hint("merge"), "form", "left")  # last, so that no candidates are shuffled with a reference
+    empty = F.coalesce("candidates", F.array().cast("array<string>"))
+    return out.select("ref", empty.alias("candidates"), F.get(F.array(*map(F.lit, RANKS)), F.col("rank")).alias("rank"), F.when(F.size(empty) == 1, empty[0]).alias("target"))
 
 
 _CALL = r"""(?:\b(new)\s+|\b([\w$]+)\s*\.\s*)?\b([A-Za-z_$][\w$]*)\s*\(((?:[^()"']|"[^"]*"|'[^']*')*)(\)?)"""

@@ -1,7 +1,13 @@
+import sys
+from pathlib import Path
+
 from factloom.sources import enrichment as E
 from factloom.sources import structure as S
 from factloom.sources import symbols as Y
 
+sys.path.insert(0, str(Path(__file__).parent))
+from plan_rows import most_rows  # noqa: E402
+
 
 def files(spark, *rows):
     return spark.createDataFrame(list(rows), "path string, language string, content string")
@@ -29,6 +35,16 @@ def test_every_visibility(spark):
     }
 
 
+def test_files_that_see_the_same_are_answered_once(spark):
+    known = spark.range(30).selectExpr("concat('s', id) id", "'class' kind", "'A' name", "'p.A' qualified_name", "'p' package", "cast(null as string) owner_name", "cast(null as int) arity")
+    references = spark.range(40).selectExpr("id ref", "concat('f', id) path", "'p' package", "'A' name", "'type' wants", "cast(null as string) owner_name", "cast(null as int) arity")
+    imports = spark.range(40).selectExpr("concat('f', id) path", "concat('elsewhere', id) qualified_name", "true wildcard", "cast(null as string) alias")
+    rows, most = most_rows(Y.resolve(references, known, imports))
+    want = sorted(f"s{i}" for i in range(30))
+    assert len(rows) == 40 and all(r["candidates"] == want and r["rank"] == "package" and r["target"] is None for r in rows)
+    assert most < 200  # not 40 files times 30 symbols
+
+
 def test_from_sources(spark):
     artifacts = files(
         spark,
